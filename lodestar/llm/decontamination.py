@@ -91,4 +91,4 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones."""
     bad = matches(docs, items).select(F.col("doc_id").alias("bad_doc")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_doc")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_doc"]), "left_anti")

@@ -12,7 +12,7 @@ only the one bucket that holds the cut is put in order.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own, last in order;
 equal rows are taken alike but for the one at the cut; if all sizes are 0 so are all targets; an empty table gives an
-empty result. Extra columns are kept; names that clash with the added ones are replaced.
+empty result. Extra columns are kept; ``sized`` replaces those whose names it adds.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
-ADDED = ("size", "mix_order", "mix_bucket")
 
 
 def sized(docs: DataFrame, text: str = "text", seed: int = 42) -> DataFrame:
@@ -84,13 +83,12 @@ def taken(docs: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, the one at a source's cut with its first words only."""
-    columns = docs.columns
-    docs = docs.drop(*[c for c in columns if c in ADDED])
-    measured = sized(docs)
+    measured = sized(docs.select(F.struct(*docs.columns).alias("mix_row"), "doc_id", "source", "text"))
     out = mixed(measured, plan(measured.select("source", "size", "mix_bucket")))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
     whole = F.col("passes") + F.when((F.col("part") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)
-    cut = (F.col("part") > 0) & (F.col("part") < F.col("size"))
-    full = out.where(whole > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), whole)))
-    cuts = out.where(cut).withColumn("text", first).withColumn("n_chars", F.length("text").cast("long")).withColumn("copy", F.lit(0).cast("long"))
-    return full.unionByName(cuts).select(*[c for c in columns if c not in ADDED])
+    full = out.where(whole > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), whole))).select("mix_row.*")
+    cuts = out.where((F.col("part") > 0) & (F.col("part") < F.col("size"))).select("mix_row.*", first.alias("mix_first")).withColumn("text", F.col("mix_first"))
+    if "n_chars" in docs.columns:
+        cuts = cuts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return full.unionByName(cuts.select(*docs.columns))
