@@ -72,10 +72,6 @@ def _tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.split(F.lower(F.concat_ws("/", host, path)), "[^a-z0-9]+"))
 
 
-def _target(host: Column, path: Column) -> Column:
-    return F.concat(host, F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)))
-
-
 def rule_table(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFrame:
     """``token`` and a rule each; ``token`` is the rarest of the rule's tokens over ``pages(host, path)``.
 
@@ -93,15 +89,16 @@ def rule_table(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFra
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = SITES + SPAM, url: str = "url", default: str = "allow", most_mapped: int = MOST_MAPPED) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``by``: site (rank 1), pattern (rank 0) or default."""
-    pages = pages.drop(*[c for c in ("host", "path", "rule", "verdict", "by") if c != url])
-    pages = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "by")]
+    pages = pages.select(F.struct(*kept).alias("page"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     table = rule_table(pages, rules)
     if table.limit(most_mapped + 1).count() <= most_mapped:
         best = _by_map(pages, table)
     else:
         best = _by_join(pages, table)
     by = F.when(F.col("best").isNull(), "default").when(F.col("best.rank") == 1, "site").otherwise("pattern")
-    return best.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default)), "by": by}).drop("best")
+    verdict = F.coalesce("best.verdict", F.lit(default))
+    return best.select("page.*", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), by.alias("by"))
 
 
 def _by_map(pages: DataFrame, table: DataFrame) -> DataFrame:
@@ -111,14 +108,14 @@ def _by_map(pages: DataFrame, table: DataFrame) -> DataFrame:
     fitting = F.filter(found, lambda r: F.rlike(F.col("url_target"), r["pattern"]))
     ranked = F.transform(fitting, lambda r: F.struct(r["rank"].alias("rank"), F.length(r["rule"]).alias("length"), r["rule"].alias("rule"), r["verdict"].alias("verdict")))
     host, path = F.col("host"), F.col("path")
-    rows = pages.withColumns({"url_tokens": _tokens(host, path), "url_target": _target(host, path)}).join(F.broadcast(index))
-    return rows.withColumn("best", F.when(host != "", F.array_max(ranked))).drop("url_tokens", "url_target", "index")
+    rows = pages.withColumns({"url_tokens": _tokens(host, path), "url_target": F.concat(host, path)}).join(F.broadcast(index))
+    return rows.withColumn("best", F.when(host != "", F.array_max(ranked)))
 
 
 def _by_join(pages: DataFrame, table: DataFrame) -> DataFrame:
     host, path = F.col("host"), F.col("path")
     urls = pages.where(host != "").select("host", "path").distinct()
-    keyed = urls.select("host", "path", _target(host, path).alias("url_target"), F.explode(_tokens(host, path)).alias("token"))
+    keyed = urls.select("host", "path", F.concat(host, path).alias("url_target"), F.explode(_tokens(host, path)).alias("token"))
     fits = keyed.join(table, "token").where(F.expr("url_target rlike pattern"))
     entry = F.struct("rank", F.length("rule").alias("length"), "rule", "verdict")
     best = fits.groupBy("host", "path").agg(F.max(entry).alias("best"))
