@@ -31,26 +31,36 @@ UNITS = (
 SLOT = "⟦([anu])[^⟧]*⟧"
 
 
-def template(text: Column) -> Column:
-    """Words between single or double spaces; a placeholder is ``⟦`` a, n or u, the value ``⟧``."""
-    t = F.translate(text, "⟦⟧", "  ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;:] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", "⟦a$1⟧")
-    t = F.lower(t)
+def _bare(t: Column) -> Column:
+    return F.regexp_replace(t, r"[^\p{L}\p{N}⟦⟧]+", " ")
+
+
+def _numbered(t: Column) -> Column:
     t = F.regexp_replace(t, r"[.,:/](?![0-9])|(?<![0-9])[.,:/]", " ")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}⟦⟧.,:/]+", " ")
     t = F.regexp_replace(t, r"([0-9][0-9.,:/]*)", " ⟦n$1⟧ ")
-    t = F.regexp_replace(t, r"(?<=⟧ {1,3})(" + "|".join(UNITS) + r")(?= |$)", "⟦u$1⟧")
-    return F.trim(t)
+    return F.regexp_replace(t, r"(?<=⟧ {1,3})(" + "|".join(UNITS) + r")(?= |$)", "⟦u$1⟧")
+
+
+def templates(texts: DataFrame, key: str) -> DataFrame:
+    """``key, template``: words between single or double spaces; a placeholder is ``⟦`` a, n or u, the value ``⟧``.
+
+    Texts without digits take a shorter way to the same template. Steps stand in projections of their own, so that none is made twice.
+    """
+    t = F.col("template")
+    out = texts.select(key, F.when(F.regexp_like("text", F.lit("[⟦⟧]")), F.translate("text", "⟦⟧", "  ")).otherwise(F.col("text")).alias("template"))
+    out = out.select(key, F.lower(F.regexp_replace(t, r"(\p{Lu}(?<=[\p{Ll},;:] \p{Lu})\p{Ll}+)(?![\p{L}\p{N}])", "⟦a$1⟧")).alias("template"))
+    return out.select(key, F.trim(F.when(F.regexp_like("template", F.lit("[0-9]")), _numbered(t)).otherwise(_bare(t))).alias("template"))
 
 
 def windows(texts: DataFrame, key: str) -> DataFrame:
-    """``key, pos, window, hash`` of every window of ``texts(key, text)``."""
-    word = "[^ ]+"
-    pattern = "(?<![^ ])(?=(" + " +".join([word] * SIZE) + "))"
-    t = texts.where(F.length("text") > 0).select(key, template(F.col("text")).alias("template")).where("template <> ''")
-    found = F.regexp_extract_all("template", F.lit(pattern), F.lit(1))
-    t = t.select(key, F.when(F.regexp_like("template", F.lit("(?:[^ ]+ +){4}[^ ]")), found).otherwise(F.array("template")).alias("all"))
-    each = t.select(key, F.posexplode("all").alias("pos", "window"))
+    """``key, pos, window, hash`` of every window of ``texts(key, text)``; the window is null where there are no words."""
+    word = "[^ ]++"
+    pattern = "(?<![^ ])(?=(" + " ++".join([word] * SIZE) + "))"
+    t = templates(texts, key).select(key, "template", F.regexp_extract_all("template", F.lit(pattern), F.lit(1)).alias("all"))
+    t = t.select(key, F.when(F.size("all") > 0, F.col("all")).when(F.col("template") != "", F.array("template")).alias("all"))
+    # The outer form: before the inner one Spark would put a filter that makes the windows once more.
+    each = t.select(key, F.posexplode_outer("all").alias("pos", "window"))
     bare = F.when(F.instr("window", "⟦") == 0, F.col("window")).otherwise(F.regexp_replace(F.regexp_replace("window", SLOT, "⟦$1⟧"), " +", " "))
     return each.withColumn("hash", F.xxhash64(bare))
 
