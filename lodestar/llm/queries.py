@@ -40,7 +40,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(_table(spark, sf_dir, "documents"))
+    return mixing.taken(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +67,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+TOP_K_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
+
+SPAM_SQL = "|".join("-".join(rule.tokens) for rule in urlfilter.SPAM)
+URL_SQL = f"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS r(h, s, v)),
+b AS (SELECT p.page_id, p.host, p.path, r.h || r.s AS rule, r.v FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.s) QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.h || r.s) DESC) = 1)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.v, CASE WHEN regexp_matches(p.host, '\\b({SPAM_SQL})\\b') THEN 'block' ELSE 'allow' END) AS verdict,
+CASE WHEN b.rule IS NOT NULL THEN 'site' WHEN regexp_matches(p.host, '\\b({SPAM_SQL})\\b') THEN 'pattern' ELSE 'default' END AS "by",
+CASE WHEN b.rule IS NULL THEN '*' || nullif(regexp_extract(p.host, '\\b({SPAM_SQL})\\b', 1), '') || '*' END AS pattern FROM p LEFT JOIN b USING (page_id)"""
+
+#: Targets by resharing until none is above; then each document's words, in the seeded order.
+MIXING_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM d GROUP BY source),
+w AS (SELECT 0 AS n, source, source_size, weight, false AS capped, sum(source_size) OVER () * weight / sum(weight) OVER () AS target FROM s
+UNION ALL SELECT n + 1, source, source_size, weight, capped OR target > 3 * source_size,
+CASE WHEN capped OR target > 3 * source_size THEN 3 * source_size ELSE (sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (capped OR target > 3 * source_size) OVER (), 0)) * weight / sum(weight) FILTER (NOT (capped OR target > 3 * source_size)) OVER () END
+FROM w WHERE n < (SELECT count(*) FROM s)),
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM w QUALIFY n = max(n) OVER ()),
+o AS (SELECT doc_id, size, source_size, target, passes, greatest(0, CAST(round(target) AS BIGINT) - passes * source_size) AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL can't express XXH64 fingerprints, trained models, lookbehind or the walk round the ring; tests hold those against brute force."""
+    return {"op2_exact_top_k": TOP_K_SQL, "op5_url_filters": URL_SQL, "op6_mixing": MIXING_SQL}
