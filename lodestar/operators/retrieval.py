@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions import text
 
@@ -33,7 +34,7 @@ def chunk_search(chunks: DataFrame, query: list[float], parent: str, key: str, e
     return near.groupBy(parent).agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), parent).limit(k)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def embed(texts: pd.Series) -> pd.Series:
     """The offline embedder: words hashed to 256 signed places, then to length 1. The same text always gives the same vector."""
     import re
