@@ -77,10 +77,18 @@ def answer_words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda w: F.length(w) >= 3))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def token_f1(a: Column, b: Column) -> Column:
     """Of the sets of words: twice the shared over the sum of sizes; 0 if either is empty."""
-    x, y = answer_words(a), answer_words(b)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))).otherwise(F.lit(0.0))
+    def f1(s: Column) -> Column:
+        both = F.size(s["x"]) + F.size(s["y"])
+        return F.when((F.size(s["x"]) > 0) & (F.size(s["y"]) > 0), 2.0 * F.size(F.array_intersect(s["x"], s["y"])) / both).otherwise(F.lit(0.0))
+
+    return once(F.struct(answer_words(a).alias("x"), answer_words(b).alias("y")), f1)
 
 
 #: Answer words that never need support.
@@ -92,11 +100,16 @@ ANSWER_STOP_WORDS = (
 
 def risk(answer: Column, evidence: Column) -> Column:
     """Low, Medium or High by the share of an answer's words that the evidence lacks."""
-    low = F.lower(evidence)
-    mine = F.filter(F.transform(F.split(answer, "[ \\t\\n\\r]+"), lambda w: F.lower(F.regexp_replace(w, r"^[.,;?!\"'()\[\]{}:]+|[.,;?!\"'()\[\]{}:]+$", ""))), lambda w: F.length(w) > 4)
-    mine = F.filter(mine, lambda w: ~w.isin(*ANSWER_STOP_WORDS) & ~F.regexp_like(w, F.lit("^[0-9]+$")))
-    ratio = F.size(F.filter(mine, lambda w: ~F.contains(low, w))) / F.greatest(F.size(mine), F.lit(1))
-    return F.when(F.coalesce(evidence, F.lit("")) == "", "High").when(F.size(mine) == 0, "Low").when(ratio < 0.20, "Low").when(ratio < 0.45, "Medium").otherwise("High")
+    mark = r"[.,;?!\"'()\[\]{}:]+"
+    bare = F.lower(F.regexp_replace(answer, rf"(?:^|(?<=[ \t\n\r])){mark}|{mark}(?=[ \t\n\r]|$)", ""))
+    mine = F.filter(F.split(bare, "[ \\t\\n\\r]+"), lambda w: (F.length(w) > 4) & ~w.isin(*ANSWER_STOP_WORDS) & (F.translate(w, "0123456789", "") != ""))
+
+    def level(s: Column) -> Column:
+        ratio = F.size(F.filter(s["words"], lambda w: ~F.contains(s["low"], w))) / F.greatest(F.size(s["words"]), F.lit(1))
+        return once(ratio, lambda r: F.when(r < 0.20, "Low").when(r < 0.45, "Medium").otherwise("High"))
+
+    found = once(F.struct(mine.alias("words"), F.lower(evidence).alias("low")), level)
+    return F.when(F.coalesce(evidence, F.lit("")) == "", "High").otherwise(found)
 
 
 def clean_answer(c: Column) -> Column:

@@ -49,24 +49,35 @@ def embed(texts: pd.Series) -> pd.Series:
     return pd.Series(list(out))
 
 
+def tokens(body: Column) -> Column:
+    return F.filter(F.split(F.lower(body), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+
+
 def postings(docs: DataFrame, key: str, body: Column) -> DataFrame:
-    """``key, term, tf, length`` of white-space tokens."""
-    words = F.filter(F.split(F.lower(body), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    each = docs.select(key, words.alias("words")).select(key, F.size("words").alias("length"), F.explode("words").alias("term"))
+    """``key, length, term, tf``: an index to keep where many queries follow."""
+    each = docs.select(key, tokens(body).alias("words")).select(key, F.size("words").alias("length"), F.explode("words").alias("term"))
     return each.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(docs: DataFrame, key: str, body: Column, query: str, k: int = 50, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """Okapi BM25 of one query; a token asked twice counts twice; terms in most documents get a fraction of the mean weight."""
-    index = postings(docs, key, body)
-    asked = docs.sparkSession.createDataFrame([(t,) for t in query.lower().split()], "term string").groupBy("term").agg(F.count(F.lit(1)).alias("times"))
-    corpus = docs.select(F.size(F.filter(F.split(F.lower(body), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = df.crossJoin(F.broadcast(corpus)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    """Okapi BM25 of one query; a token asked twice counts twice; terms in most documents get a fraction of the mean weight.
+
+    Document frequencies are summed before the shuffle; term frequencies are made for the asked terms alone.
+    """
+    asked: dict[str, int] = {}
+    for t in query.lower().split():
+        asked[t] = asked.get(t, 0) + 1
+    rows = docs.select(key, tokens(body).alias("words"))
+    corpus = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean_length"))
+    df = rows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = df.join(F.broadcast(corpus)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = weighed.agg((F.avg("idf") * epsilon).alias("floor"))
-    used = weighed.join(F.broadcast(asked), "term").crossJoin(F.broadcast(floor)).withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")))
+    times = F.element_at(F.create_map(*[F.lit(x) for pair in (asked or {"": 0}).items() for x in pair]), F.col("term"))
+    used = weighed.where(F.col("term").isin(*asked)).withColumn("times", times).join(F.broadcast(floor)).withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")))
+    held = rows.select(key, F.size("words").alias("length"), F.explode(F.filter("words", lambda w: w.isin(*asked))).alias("term"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = index.join(F.broadcast(used), "term").groupBy(key).agg(F.sum(part).alias("score")).where("score > 0")
+    counted = held.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    scored = counted.join(F.broadcast(used), "term").groupBy(key).agg(F.sum(part).alias("score")).where("score > 0")
     return scored.orderBy(F.col("score").desc(), key).limit(k)
 
 
