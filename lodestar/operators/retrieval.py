@@ -50,7 +50,9 @@ def embed(texts: pd.Series) -> pd.Series:
 
 
 def tokens(body: Column) -> Column:
-    return F.filter(F.split(F.lower(body), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    """The words between ASCII white space, lower-cased."""
+    trimmed = F.trim(F.lower(body), F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed != "", F.split(trimmed, r"[ \t\n\x0B\f\r]+")).otherwise(F.array().cast("array<string>"))
 
 
 def postings(docs: DataFrame, key: str, body: Column) -> DataFrame:
