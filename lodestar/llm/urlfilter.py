@@ -81,8 +81,8 @@ def rule_table(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFra
         rows = [(r.rule, r.verdict, r.pattern, list(r.tokens), r.rank) for r in rules]
         rules = pages.sparkSession.createDataFrame(rows, "rule string, verdict string, pattern string, tokens array<string>, rank int")
     each = rules.withColumn("token", F.explode("tokens"))
-    wanted = each.select("token").distinct()
-    held = pages.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token")).join(wanted, "token", "left_semi").groupBy("token").count()
+    # Counted before the join, so that a token that most URLs hold is a row for each task in the shuffle.
+    held = pages.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token")).groupBy("token").count()
     rarest = F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token"))
     return each.join(held, "token", "left").groupBy("rule", "verdict", "pattern", "rank").agg(rarest.alias("token"))
 
