@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import written
+
 UNKNOWN = "Unknown"
 #: Texts that stand for a missing one.
 NULL_TOKENS = ("", "nan", "none", "null", "na", "n/a")
@@ -84,10 +86,15 @@ def normalise(raw: DataFrame, required: str = "company", order: str | None = Non
 
 
 def dense_ids(df: DataFrame, order: str, name: str = ROW_ID) -> DataFrame:
-    """``name``: the row's place by ``order``, from 0, without gaps."""
-    ranged = df.repartitionByRange(F.col(order)).withColumn("range_part", F.spark_partition_id())
-    sizes = ranged.groupBy("range_part").agg(F.count(F.lit(1)).alias("range_rows"))
-    before = F.coalesce(F.sum("range_rows").over(Window.orderBy("range_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("range_part", before.alias("range_start"))
-    within = F.row_number().over(Window.partitionBy("range_part").orderBy(order)) - 1
-    return ranged.withColumn("range_rank", within).join(F.broadcast(starts), "range_part").withColumn(name, (F.col("range_start") + F.col("range_rank")).cast("int")).drop("range_part", "range_rank", "range_start")
+    """``name``: the row's place by ``order``, from 0, without gaps; rows that tie are in any order.
+
+    The table is cut into ranges and written with the range of each row, and all that follows reads what was written: ranges, and ids made by
+    the source's plan, differ from one run of a plan to the next. A random part of the order splits rows that tie, so no value fills a range.
+    """
+    placed = df.select(F.struct(*df.columns).alias("row"), F.col(order).alias("place"), F.rand(7).alias("tie"))
+    ranged = written.materialize(placed.repartitionByRange("place", "tie").withColumn("part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("start"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("place", "tie")) - 1
+    return ranged.withColumn("within", within).join(F.broadcast(starts), "part").select("row.*", (F.col("start") + F.col("within")).alias(name))

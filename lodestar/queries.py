@@ -191,7 +191,7 @@ def null_tokens(spark, d):
     return dirty(spark, d).agg(F.count_if(cleaning.text(F.col("cell")).isNull()).alias("missing"), F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS INTEGER) AS _row_id FROM orders WHERE o_orderstatus <> 'P'")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS _row_id FROM orders WHERE o_orderstatus <> 'P'")
 def row_ids(spark, d):
     o = table(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", F.struct("o_totalprice", "o_orderkey").alias("place"))
     return cleaning.dense_ids(o, "place").select("o_orderkey", "_row_id")

@@ -29,6 +29,23 @@ def test_normalise(spark):
     assert cleaning.normalise(raw.limit(0)).count() == 0
 
 
+def test_dense_ids_lose_no_row(spark):
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(2_000_000).select((F.col("id") * 7919 % 2_000_003).alias("k"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.xxhash64("id")).alias("place"))
+        ids = cleaning.dense_ids(df, "place")
+        r = ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_row_id").alias("d"), F.max("_row_id").alias("m"), F.count_distinct("k").alias("k")).first()
+        assert (r.n, r.d, r.m + 1, r.k) == (2_000_000,) * 4
+        equal = ids.where("place = -1").agg(F.max("_row_id") - F.min("_row_id") + 1, F.count(F.lit(1))).first()
+        assert equal[0] == equal[1]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="aN/ \t\n-1.,;|&", max_size=12), min_size=1, max_size=20))
 def test_cleaning_twice_changes_nothing(spark, values):
