@@ -1,31 +1,13 @@
-"""What several operators share: tables that cut lineage, and connected components."""
+"""What several operators share: connected components."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.written import drop, materialize
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only for a local session that sets none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table.
-
-    A lost executor costs its running tasks only: what was written stays readable.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "drop", "materialize"]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -43,12 +25,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.where("a > b")
     seen = None
     while True:
+        old = edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "low")
         edges = materialize(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        middle, first = edges, low
         low = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = edges.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        for read in (middle, first, low, *([old] if seen else [])):
+            drop(read)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
