@@ -6,22 +6,27 @@ keys that meet a full shard continue clockwise to the next node of one that isn'
 and a key moves only if its own shard, or those on its way, fill up otherwise.
 
 The executors count rows by cell. That table of ``CELLS`` counts, whatever the input, is all the driver sees: it walks the ring
-and cuts each cell into runs of ranks, each with a shard and its first slot. The rows are then ranked within their cells, and
-joined with the runs.
+and cuts each cell into runs of ranks, each with a shard and its first slot. Ranks are made from narrow rows: equal rows are counted
+first, the counts added up in the order of the rows' hashes within 1,024 ranges of a cell, and equal rows numbered in parts of ``PART``.
+So neither a key nor a row that a third of the table repeats makes a task of its own size; the whole rows move once, by row number.
 
 Defined results: a null text has size 1 and the checksum of the empty text; a null key has a place like any other; equal rows are
-interchangeable; an empty table gives an empty result. Extra columns are kept; names that clash with the added ones are replaced.
+interchangeable; an empty table gives an empty result. Extra columns of any type are kept; names that clash with the added ones are replaced.
 """
 
 from __future__ import annotations
 
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BITS = 14
 CELLS = 1 << BITS
 NODES = 128
+#: Equal rows that one task numbers.
+PART = 100_000
 
 
 def owners(shards: int) -> tuple[list[int], list[int]]:
@@ -61,24 +66,45 @@ def runs(counts: dict[int, int], shards: int) -> list[tuple[int, int, int, int,
     return out
 
 
+def _content(docs: DataFrame) -> Column:
+    """A hash of the whole row; what can't be hashed is hashed as JSON."""
+    plain = lambda f: not any(t in f.dataType.simpleString() for t in ("map<", "variant"))
+    return F.xxhash64(*[F.col(f"`{f.name}`") if plain(f) else F.to_json(F.struct(f"`{f.name}`")) for f in docs.schema])
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``row, cell, rank`` of ``rows(row, cell, content)``: a number from 0 in each cell, by content."""
+    range_ = F.shiftright("content", 54)
+    classes = materialize(rows.groupBy("cell", range_.alias("range"), "content").agg(F.count(F.lit(1)).alias("n")), "shard-classes")
+    upto = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda n, by, order: F.coalesce(F.sum(n).over(upto(by, order)), F.lit(0))
+    ranges = classes.groupBy("cell", "range").agg(F.sum("n").alias("rows"))
+    ranges = ranges.select("cell", "range", before("rows", ["cell"], "range").alias("range_start"))
+    classes = classes.withColumn("start", before("n", ["cell", "range"], "content")).join(ranges, ["cell", "range"])
+    classes = classes.select("cell", "content", (F.col("start") + F.col("range_start")).alias("start"), "n")
+    several = F.when(F.col("n") > 1, F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / PART))).otherwise(0)
+    placed = materialize(rows.join(classes, ["cell", "content"]).withColumn("part", several), "shard-rows")
+    same = placed.where("n > 1")
+    key = ["cell", "content", "part"]
+    parts = same.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
+    parts = parts.select(*key, before("rows", key[:2], "part").alias("part_start"))
+    copies = same.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy("row")) - 1).join(parts, key)
+    alone = placed.where("n = 1").select("row", "cell", F.col("start").alias("rank"))
+    return alone.unionByName(copies.select("row", "cell", (F.col("start") + F.col("part_start") + F.col("copy")).alias("rank")))
+
+
 def sharded(docs: DataFrame, shards: int = 16, key: str = "doc_id") -> DataFrame:
     """``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 within the shard)."""
     docs = docs.drop("shard", "slot")
-    place = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    cell = F.shiftrightunsigned(place, 64 - BITS).cast("int")
-    counts = {r["cell"]: r["count"] for r in docs.select(cell.alias("cell")).groupBy("cell").count().collect()}
-    schema = "run_cell int, run_from long, run_to long, shard int, run_slot long"
-    cuts = F.broadcast(docs.sparkSession.createDataFrame(runs(counts, shards), schema))
-    order = Window.partitionBy("ring_cell").orderBy("ring_place", "ring_row")
-    ranked = (
-        docs.withColumn("ring_row", F.xxhash64(*docs.columns))
-        .withColumn("ring_place", place)
-        .withColumn("ring_cell", cell)
-        .withColumn("ring_rank", F.row_number().over(order) - 1)
-    )
-    inside = (F.col("ring_cell") == F.col("run_cell")) & (F.col("ring_rank") >= F.col("run_from")) & (F.col("ring_rank") < F.col("run_to"))
-    placed = ranked.join(cuts, inside).withColumn("slot", F.col("run_slot") + F.col("ring_rank") - F.col("run_from"))
-    return placed.drop("ring_row", "ring_place", "ring_cell", "ring_rank", "run_cell", "run_from", "run_to", "run_slot")
+    cell = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), 64 - BITS).cast("int")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), cell.alias("cell"), _content(docs).alias("content"), F.monotonically_increasing_id().alias("row"))
+    whole = materialize(whole, "shard-docs")
+    counts = {r["cell"]: r["count"] for r in whole.groupBy("cell").count().collect()}
+    cuts = F.broadcast(docs.sparkSession.createDataFrame(runs(counts, shards), "cell int, run_from long, run_to long, shard int, run_slot long"))
+    inside = (F.col("rank") >= F.col("run_from")) & (F.col("rank") < F.col("run_to"))
+    placed = _ranked(whole.select("row", "cell", "content")).join(cuts, "cell").where(inside)
+    placed = placed.select("row", "shard", (F.col("run_slot") + F.col("rank") - F.col("run_from")).alias("slot"))
+    return whole.select("row", "doc").join(placed, "row").select("doc.*", "shard", "slot")
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
