@@ -71,13 +71,13 @@ TOP_K_SQL = """WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transfo
 s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
 
-SPAM_SQL = "|".join("-".join(rule.tokens) for rule in urlfilter.SPAM)
+SPAM_SQL = ", ".join(f"('{r.rule}', '(?:^|[^A-Za-z0-9]){r.expression.strip('^')}(?:$|[^A-Za-z0-9])')" for r in urlfilter.SPAM)
 URL_SQL = f"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-r AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS r(h, s, v)),
-b AS (SELECT p.page_id, p.host, p.path, r.h || r.s AS rule, r.v FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.s) QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.h || r.s) DESC) = 1)
-SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.v, CASE WHEN regexp_matches(p.host, '\\b({SPAM_SQL})\\b') THEN 'block' ELSE 'allow' END) AS verdict,
-CASE WHEN b.rule IS NOT NULL THEN 'site' WHEN regexp_matches(p.host, '\\b({SPAM_SQL})\\b') THEN 'pattern' ELSE 'default' END AS "by",
-CASE WHEN b.rule IS NULL THEN '*' || nullif(regexp_extract(p.host, '\\b({SPAM_SQL})\\b', 1), '') || '*' END AS pattern FROM p LEFT JOIN b USING (page_id)"""
+r AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS r(h, s, v)), w AS (SELECT * FROM (VALUES {SPAM_SQL}) AS w(rule, expression)),
+b AS (SELECT p.page_id, max_by(r.h || r.s, length(r.h || r.s)) AS rule, max_by(r.v, length(r.h || r.s)) AS v FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.s) GROUP BY p.page_id),
+m AS (SELECT p.page_id, max({{'n': length(w.rule), 'rule': w.rule}}).rule AS pattern FROM p JOIN w ON regexp_matches(p.host, w.expression) GROUP BY p.page_id)
+SELECT p.page_id, p.host, p.path, b.rule, CASE WHEN b.rule IS NOT NULL THEN b.v WHEN m.pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+CASE WHEN b.rule IS NOT NULL THEN 'site' WHEN m.pattern IS NOT NULL THEN 'pattern' ELSE 'default' END AS "by", CASE WHEN b.rule IS NULL THEN m.pattern END AS pattern FROM p LEFT JOIN b USING (page_id) LEFT JOIN m USING (page_id)"""
 
 #: Targets by resharing until none is above; then each document's words, in the seeded order.
 MIXING_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
