@@ -4,8 +4,10 @@ A document's terms are its lower-cased words and the first four letters of longe
 counted once. The score adds a weight for every term and a product of factors for every pair of terms,
 so that an insult next to a mention of a group can weigh more than both alone.
 
-Fitted on a bounded sample of labelled rows (``rows``); of the hashed terms the ``terms`` that tell the
-classes apart best take part. Defined results: null and empty texts get the score of no terms; if no row
+Fitted on a bounded sample of labelled rows (``rows``), twice. First with the ``first`` terms that most rows hold, whatever their labels: the
+weights alone for some passes, then weights and factors. The ``terms`` whose weights and pairs moved the margins most stay, so that a
+term that tells nothing alone stays for its pairs, and are fitted afresh. Every fifth row is kept out of both, and a logistic curve
+over its margins makes the score a probability. Defined results: null and empty texts get the score of no terms; if no row
 is labelled, or all labels agree, the score is the smoothed share of label 1 for every text.
 Repeated rows get equal scores, ties can't arise, an empty table gives an empty result, and a very
 long text is scored whole.
@@ -27,7 +29,8 @@ from .labelled import labelled_sample
 
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 20
-GAIN = 12
+#: Rows that must hold a term.
+LEAST = 3
 #: Terms remembered by a worker before it starts afresh; bounds its memory.
 REMEMBERED = 300_000
 
@@ -65,12 +68,14 @@ class Terms:
 
 @dataclass
 class FactorizationMachine:
-    """``slots`` maps a bucket to its place among the weights, or -1."""
+    """``slots`` maps a bucket to its place among the weights, or -1; ``slope`` and ``shift`` lay the score over the margin."""
 
     slots: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
 
     def margin(self, rows: list[list[int]]) -> np.ndarray:
         flat, starts, full = _flat(rows)
@@ -82,7 +87,11 @@ class FactorizationMachine:
         return out
 
     def score(self, rows: list[list[int]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(rows), -30, 30)))
+        return _logistic(self.slope * self.margin(rows) + self.shift)
+
+
+def _logistic(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
 def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,55 +101,107 @@ def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, (np.cumsum(lengths) - lengths)[full], full
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, terms: int, factors: int, steps: int = 1500, batch: int = 256, rate: float = 0.2, decay: float = 1e-6) -> FactorizationMachine:
-    """Logistic loss, AdaGrad steps over shuffled batches with a fixed seed.
+class Rows:
+    """The terms of rows end to end, as places among ``size`` weights; terms without a place are left out."""
+
+    def __init__(self, rows: list[list[int]], slots: np.ndarray):
+        flat, _, _ = _flat(rows)
+        of, place = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), slots[flat]
+        self.place, self.count, self.size = place[place >= 0], np.bincount(of[place >= 0], minlength=len(rows)), int(slots.max(initial=-1)) + 1
+        self.start = np.cumsum(self.count) - self.count
+
+    def batch(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of some rows, and for each the row's place among them."""
+        n = self.count[rows]
+        of = np.repeat(np.arange(len(rows)), n)
+        return self.place[np.repeat(self.start[rows] - (np.cumsum(n) - n), n) + np.arange(len(of))], of
 
-    A term takes part if three rows or more hold it and its chi-square against the label is over ``GAIN``.
-    """
+
+def _sums(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(of, values[:, k], n) for k in range(values.shape[1])], axis=1)
+
+
+def _descend(x: Rows, y: np.ndarray, factors: int, passes: int, alone: int, batch: int = 64, rate: float = 0.1, decay: float = 0.01, pair_decay: float = 0.3) -> tuple[float, np.ndarray, np.ndarray]:
+    """AdaGrad steps on the logistic loss over shuffled batches with a fixed seed; in the first ``alone`` passes weights only."""
+    rng = np.random.default_rng(7)
+    prior = (y.sum() + 0.5) / (len(y) + 1)
+    b, w, v = float(np.log(prior / (1 - prior))), np.zeros(x.size), rng.normal(0, 0.02, (x.size, factors))
+    gb, gw, gv = 1e-4, np.full(x.size, 1e-4), np.full((x.size, factors), 1e-4)
+    for turn in range(passes):
+        order = rng.permutation(len(y))
+        for at in range(0, len(order), batch):
+            part = order[at : at + batch]
+            n = len(part)
+            term, of = x.batch(part)
+            mine = v[term]
+            sums = _sums(of, mine, n)
+            pairs = 0.5 * ((sums * sums).sum(axis=1) - np.bincount(of, (mine * mine).sum(axis=1), n)) if turn >= alone else 0.0
+            error = _logistic(b + np.bincount(of, w[term], n) + pairs) - y[part]
+            gb += error.mean() ** 2
+            b -= rate * error.mean() / np.sqrt(gb)
+            used, place = np.unique(term, return_inverse=True)
+            e = error[of] / n
+            dw = np.bincount(place, e, len(used)) + decay * w[used] / n
+            gw[used] += dw * dw
+            w[used] -= rate * dw / np.sqrt(gw[used])
+            if turn >= alone:
+                dv = _sums(place, e[:, None] * (sums[of] - mine), len(used)) + pair_decay * v[used] / n
+                gv[used] += dv * dv
+                v[used] -= 0.2 * rate * dv / np.sqrt(gv[used])
+    return b, w, v
+
+
+def _moved(x: Rows, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """By term: the squares of what it adds to the margins, its pairs included, over all rows."""
+    out = np.zeros(x.size)
+    for at in range(0, len(x.count), 256):
+        rows = np.arange(at, min(at + 256, len(x.count)))
+        term, of = x.batch(rows)
+        mine = v[term]
+        out += np.bincount(term, (w[term] + (mine * (_sums(of, mine, len(rows))[of] - mine)).sum(axis=1)) ** 2, x.size)
+    return out
+
+
+def _curve(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and shift of the logistic curve over the margins, by Newton steps towards smoothed labels."""
+    ones = y.sum()
+    goal = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+    x, a = np.stack([margin, np.ones(len(y))], axis=1), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = _logistic(x @ a)
+        a = a - np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + 1e-6 * np.eye(2), x.T @ (p - goal))
+    return (float(a[0]), float(a[1])) if a[0] > 0 else (1.0, 0.0)
+
+
+def fit(rows: list[list[int]], labels: np.ndarray, terms: int, factors: int, first: int = 1 << 15, steps: int = 1200) -> FactorizationMachine:
+    """The machine of a sample; ``steps`` batches at least are taken in the first fit, twice as many in the second."""
     y = np.asarray(labels, float)
-    flat, starts, full = _flat(rows)
     prior = (y.sum() + 0.5) / (len(y) + 1)
     slots = np.full(BUCKETS, -1, np.int32)
-    bias = float(np.log(prior / (1 - prior)))
-    rng = np.random.default_rng(7)
-    if len(flat) and 0 < y.sum() < len(y):
-        of = np.repeat(np.flatnonzero(full), np.diff(np.append(starts, len(flat))))
-        n1, n = np.bincount(flat, y[of], BUCKETS), np.bincount(flat, minlength=BUCKETS)
-        expected = n * prior
-        gain = np.where(n >= 3, (n1 - expected) ** 2 / np.maximum(expected, 1e-9) / (1 - prior), 0)
-        best = np.argsort(-gain, kind="stable")[:terms]
-        best = best[gain[best] > GAIN]
+    bias, w, v = float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, factors))
+    if not 0 < y.sum() < len(y):
+        return FactorizationMachine(slots, bias, w, v)
+    out = np.arange(len(y)) % 5 == 4
+    mine = [r for r, o in zip(rows, out, strict=True) if not o]
+    held = np.bincount(_flat(mine)[0], minlength=BUCKETS)
+    best = np.argsort(-held, kind="stable")[:first]
+    passes = max(8, -(-steps * 64 // max(1, len(mine))))
+    for best, passes, alone in ((best[held[best] >= LEAST], passes, passes // 2), (None, 2 * passes, passes // 2)):
+        if best is None:
+            moved, known = _moved(x, w, v), np.flatnonzero(slots >= 0)
+            best = known[np.argsort(-moved[slots[known]], kind="stable")[:terms]]
+        slots = np.full(BUCKETS, -1, np.int32)
         slots[best] = np.arange(len(best))
-    size = int(slots.max()) + 1
-    w, v = np.zeros(size), rng.normal(0, 0.01, (size, factors))
-    gw, gv, gb = np.full(size, 1e-6), np.full((size, factors), 1e-6), 1e-6
-    kept = [[s for s in slots[r].tolist() if s >= 0] if r else [] for r in rows]
-    for _ in range(max(10, -(-steps * batch // max(1, len(kept)))) if size else 0):
-        order = rng.permutation(len(kept))
-        for at in range(0, len(order), batch):
-            part = order[at : at + batch]
-            model = FactorizationMachine(slots, bias, w, v)
-            mine = [kept[i] for i in part]
-            error = model.score(mine) - y[part]
-            flat, starts, full = _flat(mine)
-            g = float(error.mean())
-            gb += g * g
-            bias -= rate * g / np.sqrt(gb)
-            if not len(flat):
-                continue
-            of = np.repeat(np.arange(int(full.sum())), np.diff(np.append(starts, len(flat))))
-            sums = np.add.reduceat(v[flat], starts, axis=0)
-            e = error[full][of] / len(part)
-            dw = np.bincount(flat, e, size) + decay * w
-            dv = np.stack([np.bincount(flat, e * (sums[of, k] - v[flat, k]), size) for k in range(factors)], axis=1) + decay * v
-            gw += dw * dw
-            gv += dv * dv
-            w = w - rate * dw / np.sqrt(gw)
-            v = v - 0.3 * rate * dv / np.sqrt(gv)
-    return FactorizationMachine(slots, bias, w, v)
-
-
-def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = 12_000, terms: int = 4_096, factors: int = 4) -> FactorizationMachine:
+        x = Rows(mine, slots)
+        bias, w, v = _descend(x, y[~out], factors, passes, alone)
+    model = FactorizationMachine(slots, bias, w, v)
+    if 0 < y[out].sum() < out.sum():
+        kept = [[s for s in slots[r].tolist() if s >= 0] if r else [] for r, o in zip(rows, out, strict=True) if o]
+        model.slope, model.shift = _curve(model.margin(kept), y[out])
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = 12_000, terms: int = 512, factors: int = 4) -> FactorizationMachine:
     """Fit on at most ``rows`` labelled documents; their terms are hashed by the executors."""
 
     def terms_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

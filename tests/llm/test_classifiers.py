@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -54,15 +55,66 @@ def test_held_out(spark, tmp_path, query, by, out, which, cut):
     assert sorted(got) == sorted(query(spark, str(tmp_path)).collect())
 
 
-def test_pairs_of_terms_outweigh_their_sum():
+def test_terms_that_tell_nothing_alone_are_told_by_their_pairs():
+    """Toxic are both words or neither; without the factors the same machine can't tell."""
     rng = np.random.default_rng(3)
-    words = [["w%d" % rng.integers(30) for _ in range(8)] + ["insult"] * int(k & 1) + ["group"] * int(k >> 1) for k in rng.integers(0, 4, 1500)]
-    y = np.array([int("insult" in w and "group" in w) for w in words])
+    words = [["w%d" % rng.integers(300) for _ in range(12)] + ["insult"] * int(k & 1) + ["group"] * int(k >> 1) for k in rng.integers(0, 4, 4000)]
+    y = np.array([int(("insult" in w) == ("group" in w)) for w in words])
     of = toxicity.Terms()
-    model = toxicity.fit([of(" ".join(w)) for w in words], y, 64, 4)
+    model = toxicity.fit([of(" ".join(w)) for w in words[:3000]], y[:3000], 64, 4)
     inside = toxicity.Terms(model.slots)
-    both, insult, group = model.score([inside("w1 insult group"), inside("w1 insult"), inside("w1 group")])
-    assert both > 0.7 and insult < 0.3 and group < 0.3
+    rows = [inside(" ".join(w)) for w in words[3000:]]
+    assert ((model.score(rows) >= 0.5) == y[3000:]).mean() > 0.95
+    flat = toxicity.FactorizationMachine(model.slots, model.bias, model.weights, 0 * model.factors, model.slope, model.shift)
+    assert auc(flat.score(rows), y[3000:]) < 0.6
+
+
+def test_margins_equal_the_sum_over_pairs():
+    rng = np.random.default_rng(5)
+    model = toxicity.FactorizationMachine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 3)), 2.0, -0.5)
+    rows = [[], [4], [0, 8], [1, 2, 3, 5, 7], list(range(9)), []]
+    for r, m, p in zip(rows, model.margin(rows), model.score(rows)):
+        want = 0.3 + sum(model.weights[i] for i in r) + sum(model.factors[i] @ model.factors[j] for i in r for j in r if i < j)
+        assert m == pytest.approx(want) and p == pytest.approx(1 / (1 + np.exp(0.5 - 2 * want)))
+
+
+def test_long_texts_are_read_to_their_end(spark):
+    long = [" ".join(["word"] * 40_000) + tail for tail in (" numbskull strangers!!!", " friends")]
+    rows = [(i, long[i % 2] + f" {i}", "en", "a", 1) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, toxicity.train(docs, labels, F.lit(True))).collect()}
+    assert min(got[i] for i in range(0, 60, 2)) > max(got[i] for i in range(1, 60, 2))
+    assert quality.scores(docs, quality.train(docs, labels, F.lit(True))).count() == 60
+
+
+def strength(model, text):
+    """The ranking's strength from the text by plain counting."""
+    raw = (text or "").encode()
+    kinds = ["".join(chr(b) for b in range(128) if f(chr(b))) for f in (str.isupper, str.islower, str.isdigit, ".,;:?".__contains__, "!".__eq__, "|".__eq__)]
+    other = [c for c in map(chr, range(128)) if c.isprintable() and c != " " and not any(c in k for k in kinds)]
+    share = [sum(chr(b) in k for b in raw if b < 128) / max(1, len(raw)) for k in [*kinds, other, "\n"]] + [sum(b >= 128 for b in raw) / max(1, len(raw))]
+    w = raw.split()
+    n, lines = len(w), raw.split(b"\n")
+    capital = share[0] / max(1e-9, share[0] + share[1] + share[8])
+    x = [math.sqrt(v) for v in share] + [
+        math.sqrt(sum(a == b for a, b in zip(w, w[1:])) / max(1, n)), max((w.count(v) for v in set(w)), default=0) / max(1, n), 1 - len(set(lines)) / len(lines), math.log1p(len(set(w))) / math.log1p(max(1, n)),
+        min(30, max(1, len(raw)) / max(1, n)), capital, math.sqrt(capital), float(n < 5), min(12, math.log1p(n)),
+    ]
+    return sum(min(8, max(-8, (v - m) / s)) * u for v, m, s, u in zip(x, model.mean, model.scale, model.weights))
+
+
+def test_quality_scores_equal_plain_counting_and_rank_pairs(spark, tmp_path):
+    rows, labels = corpus(spark, tmp_path, 300)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), F.lit(True))
+    text = {r[0]: r[1] for r in rows} | {900: "É 5 | a\nA\nA!?", 901: "x"}
+    got = {r.doc_id: r.score for r in quality.scores(spark.createDataFrame(list(text.items()), "doc_id long, text string"), model).collect()}
+    for d, t in text.items():
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-(strength(model, t) - model.cut + math.log(0.3 / 0.7)))), abs=1e-9)
+    good, bad = ([got[d] for d, (q, _) in labels.items() if d in got and q == v] for v in (1, 0))
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
+    assert abs(np.mean([got[d] < 0.3 for d in labels if d in got]) - len(bad) / (len(good) + len(bad))) < 0.02
 
 
 def test_the_sample_is_bounded_and_leaves_out_what_is_held(spark, tmp_path):
