@@ -1,13 +1,17 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: names (capitalised words inside a sentence), numbers, and units after numbers give way to typed placeholders; the
+Texts become templates: names (capitalised words, wherever they stand), numbers, and units after numbers give way to typed placeholders; the
 rest is lower-cased and loses its punctuation. Windows of five template words are hashed; a hash join of documents with benchmark items
-finds shared windows. A placeholder keeps the value it stands for, so that slots can be checked: within a document and an item, every value
-of the item stands for one value of the document (the most frequent, then the smallest); windows whose slots say otherwise don't
-count. A document is contaminated by an item if at least 0.8 of the item's windows are found in it.
+finds shared windows. Windows with fewer than three literal words say little as templates, so they keep their values in the hash. An item
+is judged by its windows of three literal words or more if those are most of it, else by all.
 
-Windows with fewer than three literal words tell nothing and are left out. Texts of fewer than five words are one window, the whole text.
-The item's windows are broadcast while they number at most ``MOST_BROADCAST``; beyond that the join shuffles the hashes.
+A placeholder keeps the value it stands for, so that slots can be checked where an item stands: met windows whose places in the document
+and in the item differ by about the same are one occurrence, and within it every value of the item stands for one value of the
+document (the one with most windows on the same diagonal, then the smallest); windows whose slots say otherwise don't count. A document
+is contaminated by an item if one occurrence holds at least 0.8 of the item's windows.
+
+Texts of fewer than five words are one window, the whole text: an item so short is found as a whole document only. The items' windows are
+broadcast while they are at most ``MOST_BROADCAST`` and ``MOST_BYTES``; beyond that the join shuffles the hashes.
 
 Defined results: null and empty texts match nothing; rows with equal doc_id (or item_id) count as one document (item); a null id is an id;
 an empty table on either side gives an empty result. Extra columns are not read.
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZE, SHARE, LITERALS = 5, 0.8, 3
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST, MOST_BYTES = 1_000_000, 64_000_000
 #: Words that are units where they follow a number.
 UNITS = (
     "mm", "cm", "m", "km", "mi", "miles", "ft", "feet", "inches", "meters", "metres", "kilometers", "kilometres",
@@ -43,25 +47,29 @@ def _numbered(t: Column) -> Column:
 
 
 def templates(texts: DataFrame, key: str) -> DataFrame:
-    """``key, template``: words between single or double spaces; a placeholder is ``⟦`` a, n or u, the value ``⟧``.
+    """``key, template``: words between single spaces; a placeholder is ``⟦`` a, n or u, the value ``⟧``.
 
     Texts without digits take a shorter way to the same template. Steps stand in projections of their own, so that none is made twice.
     """
     t = F.col("template")
     out = texts.select(key, F.when(F.regexp_like("text", F.lit("[⟦⟧]")), F.translate("text", "⟦⟧", "  ")).otherwise(F.col("text")).alias("template"))
-    out = out.select(key, F.lower(F.regexp_replace(t, r"(\p{Lu}(?<=[\p{Ll},;:] \p{Lu})\p{Ll}+)(?![\p{L}\p{N}])", "⟦a$1⟧")).alias("template"))
-    return out.select(key, F.trim(F.when(F.regexp_like("template", F.lit("[0-9]")), _numbered(t)).otherwise(_bare(t))).alias("template"))
+    out = out.select(key, F.lower(F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}++)(?![\p{L}\p{N}])", "⟦a$1⟧")).alias("template"))
+    digits = F.regexp_like("template", F.lit("[0-9]"))
+    return out.select(key, F.trim(F.when(digits, F.regexp_replace(_numbered(t), "  +", " ")).otherwise(_bare(t))).alias("template"))
 
 
 def windows(texts: DataFrame, key: str) -> DataFrame:
-    """``key, pos, window, hash`` of every window of ``texts(key, text)``; the window is null where there are no words."""
+    """``key, pos, window, weak, hash`` of every window of ``texts(key, text)``; the window is null where there are no words."""
     word = "[^ ]++"
-    pattern = "(?<![^ ])(?=(" + " ++".join([word] * SIZE) + "))"
+    pattern = "(?<![^ ])(?=(" + " ".join([word] * SIZE) + "))"
     t = templates(texts, key).select(key, "template", F.regexp_extract_all("template", F.lit(pattern), F.lit(1)).alias("all"))
     t = t.select(key, F.when(F.size("all") > 0, F.col("all")).when(F.col("template") != "", F.array("template")).alias("all"))
     # The outer form: before the inner one Spark would put a filter that makes the windows once more.
     each = t.select(key, F.posexplode_outer("all").alias("pos", "window"))
-    bare = F.when(F.instr("window", "⟦") == 0, F.col("window")).otherwise(F.regexp_replace(F.regexp_replace("window", SLOT, "⟦$1⟧"), " +", " "))
+    slots = F.length("window") - F.length(F.translate("window", "⟦", ""))
+    words = F.length("window") - F.length(F.translate("window", " ", "")) + 1
+    each = each.withColumn("weak", (F.instr("window", "⟦") > 0) & (words - slots < F.least(F.lit(LITERALS), words)))
+    bare = F.when((F.instr("window", "⟦") == 0) | F.col("weak"), F.col("window")).otherwise(F.regexp_replace("window", SLOT, "⟦$1⟧"))
     return each.withColumn("hash", F.xxhash64(bare))
 
 
@@ -69,33 +77,46 @@ def _slots(window: Column) -> Column:
     return F.when(F.instr(window, "⟦") > 0, F.regexp_extract_all(window, F.lit("⟦([anu][^⟧]*)⟧"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
+def item_windows(items: DataFrame) -> DataFrame:
+    """``item_id, hash, own, at, windows``: the windows an item is judged by, each with its first place, and their number."""
+    own = windows(items.select("item_id", "text"), "item_id").where("window is not null")
+    own = own.groupBy("item_id", "hash", "weak", F.col("window").alias("own")).agg(F.min("pos").alias("at"))
+    whole = Window.partitionBy("item_id")
+    own = own.withColumn("strong", F.count_if(~F.col("weak")).over(whole)).withColumn("all", F.count(F.lit(1)).over(whole))
+    mostly = F.col("strong") * 2 > F.col("all")
+    return own.where(~(mostly & F.col("weak"))).select("item_id", "hash", "own", "at", F.when(mostly, F.col("strong")).otherwise(F.col("all")).alias("windows"))
+
+
+def _occurrences(met: DataFrame) -> DataFrame:
+    """``met`` with ``run``, the number of the occurrence, and ``weight``, the met windows on the same diagonal."""
+    pair = ["doc_id", "item_id"]
+    along = Window.partitionBy(*pair).orderBy("diagonal")
+    reach = F.least(F.greatest(F.lit(SIZE), F.floor(F.col("windows") / 4)), F.col("windows") + 3)
+    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > reach).cast("int"), F.lit(0))
+    met = met.withColumn("diagonal", F.col("pos") - F.col("at")).withColumn("apart", apart).withColumn("run", F.sum("apart").over(along))
+    return met.withColumn("weight", F.count(F.lit(1)).over(Window.partitionBy(*pair, "diagonal"))).drop("apart", "diagonal")
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, found, windows, coverage, kind`` of every document and item that it is contaminated by."""
-    own = windows(items.select("item_id", "text"), "item_id")
-    words = F.size(F.split("window", " +"))
-    literal = words - F.size(_slots(F.col("window")))
-    own = own.where(literal >= F.least(F.lit(LITERALS), words)).select("item_id", "hash", F.col("window").alias("own"))
-    own = own.groupBy("item_id", "hash").agg(F.min("own").alias("own"))
-    total = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
-    if own.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    own = item_windows(items)
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("own")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= MOST_BROADCAST and size["bytes"] <= MOST_BYTES:
         own = F.broadcast(own)
     met = windows(docs.select("doc_id", "text"), "doc_id").join(own, "hash")
-    met = met.select("doc_id", "item_id", "hash", _slots(F.col("own")).alias("a"), _slots(F.col("window")).alias("b")).distinct()
-    pair = ["doc_id", "item_id"]
-    plain = met.where(F.size("a") == 0).select(*pair, "hash", F.lit(False).alias("changed"))
-    slots = met.where(F.size("a") > 0).select(*pair, "hash", "b", F.explode(F.arrays_zip("a", "b")).alias("slot"))
-    slots = slots.select(*pair, "hash", "b", F.col("slot.a").alias("from"), F.col("slot.b").alias("to"))
-    rank = Window.partitionBy(*pair, "from").orderBy(F.col("n").desc(), "to")
-    stands = slots.groupBy(*pair, "from", "to").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(rank)).where("rank = 1")
-    stands = stands.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("from").alias("f"), F.col("to").alias("stands"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")) & (F.col("from") == F.col("f"))
-    checked = slots.join(stands, same).groupBy(*pair, "hash", "b").agg(F.bool_and(F.col("to") == F.col("stands")).alias("holds"), F.bool_or(F.col("from") != F.col("to")).alias("changed"))
-    slotted = checked.where("holds").groupBy(*pair, "hash").agg(F.bool_and("changed").alias("changed"))
-    found = plain.unionByName(slotted).groupBy(*pair).agg(F.count(F.lit(1)).alias("found"), F.bool_or("changed").alias("changed"))
-    total = total.withColumnRenamed("item_id", "total_item")
-    out = found.join(total, F.col("item_id").eqNullSafe(F.col("total_item"))).withColumn("coverage", F.col("found") / F.col("windows"))
-    kind = F.when(F.col("changed"), "re-parameterised").otherwise("verbatim")
-    return out.where(F.col("coverage") >= SHARE).select(*pair, "found", "windows", "coverage", kind.alias("kind"))
+    met = met.select("doc_id", "item_id", "at", "pos", "windows", _slots(F.col("own")).alias("a"), _slots(F.col("window")).alias("b")).distinct()
+    pair = ["doc_id", "item_id", "run"]
+    slots = _occurrences(met).withColumn("slot", F.explode_outer(F.arrays_zip("a", "b")))
+    slots = slots.select(*pair, "at", "pos", "windows", "weight", F.col("slot.a").alias("from"), F.col("slot.b").alias("to"))
+    slots = slots.withColumn("votes", F.sum("weight").over(Window.partitionBy(*pair, "from", "to")))
+    slots = slots.withColumn("stands", F.first("to").over(Window.partitionBy(*pair, "from").orderBy(F.col("votes").desc(), "to")))
+    holds, changed = F.coalesce(F.col("to") == F.col("stands"), F.lit(True)), F.coalesce(F.col("from") != F.col("to"), F.lit(False))
+    each = slots.groupBy(*pair, "windows", "at", "pos").agg(F.bool_and(holds).alias("holds"), F.bool_or(changed).alias("changed")).where("holds")
+    each = each.groupBy(*pair, "windows", "at").agg(F.bool_and("changed").alias("changed"))
+    runs = each.groupBy(*pair, "windows").agg(F.count(F.lit(1)).alias("found"), (~F.bool_or("changed")).alias("same")).where(F.col("found") >= SHARE * F.col("windows"))
+    best = runs.groupBy(*pair[:2], "windows").agg(F.max(F.struct("found", "same")).alias("best"))
+    kind = F.when(F.col("best.same"), "verbatim").otherwise("re-parameterised")
+    return best.select(*pair[:2], "best.found", "windows", (F.col("best.found") / F.col("windows")).alias("coverage"), kind.alias("kind"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

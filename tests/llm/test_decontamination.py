@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -8,7 +9,7 @@ from lodestar.llm import queries
 
 from .tables import odd, prose, table
 
-NAME = re.compile(r"(?<=[a-zà-ÿ,;:] )([A-ZÀ-Þ][a-zà-ÿ]+)(?![^\W_])")
+NAME = re.compile(r"(?<![^\W_])([A-ZÀ-Þ][a-zà-ÿ]+)(?![^\W_])")
 
 
 def tokens(text):
@@ -34,27 +35,46 @@ def shingled(text):
 
 
 def brute(docs, items):
-    out = {}
-    bare = lambda w: tuple(x for x, _ in w)
-    vals = lambda w: tuple(v for _, v in w if v is not None)
+    """Occurrence by occurrence, in plain loops."""
+    bare, vals = (lambda w: tuple(x for x, _ in w)), (lambda w: tuple(v for _, v in w if v is not None))
+    weak = lambda w: len(w) - len(vals(w)) < min(3, len(w))
+    meets = lambda w, x: w == x if weak(w) else bare(w) == bare(x)
+    texts, out = {}, {}
+    for d, text in docs:
+        texts.setdefault(d, set()).add(text)
+    own = {}
     for i, item in items:
-        own = {}
-        for w in shingled(item):
-            if len(w) - len(vals(w)) >= min(3, len(w)):
-                own[bare(w)] = min(own.get(bare(w), ("￿",)), vals(w)) if bare(w) in own else vals(w)
-        for d, text in docs:
-            met = {(bare(w), vals(w)) for w in shingled(text) if bare(w) in own}
-            votes = {}
-            for b, v in met:
-                for x, y in zip(own[b], v):
-                    votes.setdefault(x, {}).setdefault(y, 0)
-                    votes[x][y] += 1
-            stands = {x: min(ys, key=lambda y: (-ys[y], y)) for x, ys in votes.items()}
-            fine = [(b, v) for b, v in met if all(stands[x] == y for x, y in zip(own[b], v))]
-            found = {b for b, _ in fine}
-            if own and len(found) / len(own) >= 0.8:
-                out[d, i] = (len(found), len(own), "re-parameterised" if any(all(x != y for x, y in zip(own[b], v)) and v for b, v in fine) and any(x != y for b, v in fine for x, y in zip(own[b], v)) else "verbatim")
-    return out
+        first = {}
+        for at, w in enumerate(shingled(item)):
+            first.setdefault(w, at)
+        strong = {w: at for w, at in first.items() if not weak(w)}
+        own[i] = strong if 2 * len(strong) > len(first) else first
+    for d, versions in texts.items():
+        spots = {}
+        for text in versions:
+            for pos, w in enumerate(shingled(text)):
+                spots.setdefault(bare(w), set()).add((pos, w))
+        for i, windows in own.items():
+            n = len(windows)
+            met = sorted((pos - at, at, pos, w, x) for w, at in windows.items() for pos, x in spots.get(bare(w), ()) if meets(w, x))
+            runs, last = [], None
+            for m in met:
+                if last is None or m[0] - last > min(max(5, n // 4), n + 3):
+                    runs.append([])
+                runs[-1].append(m)
+                last = m[0]
+            for run in runs:
+                weight, votes = Counter(m[0] for m in met), {}
+                for diagonal, _, _, w, x in run:
+                    for f, t in zip(vals(w), vals(x)):
+                        votes.setdefault(f, Counter())[t] += weight[diagonal]
+                stands = {f: min(c, key=lambda t: (-c[t], t)) for f, c in votes.items()}
+                fine = [(at, w, x) for _, at, _, w, x in run if all(stands[f] == t for f, t in zip(vals(w), vals(x)))]
+                found = {at for at, _, _ in fine}
+                if len(found) >= 0.8 * n:
+                    same = all(any(vals(w) == vals(x) for a, w, x in fine if a == at) for at in found)
+                    out[d, i] = max(out.get((d, i), (0, 0, False)), (len(found), n, same))
+    return {k: (f, n, "verbatim" if same else "re-parameterised") for k, (f, n, same) in out.items()}
 
 
 ITEM = "A train leaves the town of Orden at 9:30 and travels 120 km to the city of Maren. After a stop of 15 minutes Orden calls the train back. How far has the train gone by then, if 120 km take it 2 hours?"
@@ -94,8 +114,47 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch, most):
     docs += [(len(docs), None), (len(docs) + 1, ""), (0, docs[0][1]), (len(docs) + 2, "12 40 Nora")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {(r.doc_id, r.item_id): (r.found, r.windows) for r in queries.op4_benchmark_decontamination(spark, str(tmp_path)).collect()}
-    assert got == {k: v[:2] for k, v in brute(docs, items).items()} and len(got) > 20
+    got = {(r.doc_id, r.item_id): (r.found, r.windows, r.kind) for r in queries.op4_benchmark_decontamination(spark, str(tmp_path)).collect()}
+    assert got == brute(docs, items) and len(got) > 20
+
+
+STORIES = (
+    "Alice buys 3 apples. Alice eats 2 apples. How many apples has Alice left?",
+    "{a} walks {n} km to the market. On the way {a} meets {b}, who carries {m} kg of flour and {k} eggs. If {b} sells all the eggs, how many kg does {b} still carry?",
+    "A box holds {n} red marbles and {m} blue marbles. {a} takes {k} marbles without looking. How likely is it that all the marbles {a} has taken are red?",
+    "{a} earns {n} dollars a day. After {m} days {a} gives {k} dollars to {b}. {b} spends half of it. How much money do {a} and {b} have together now?",
+    "The bus to {a} leaves every {n} minutes from the square. {b} arrives {m} minutes after a bus has left, and waits {k} minutes. Was the bus late that day?",
+)
+
+
+def story(t, rng):
+    a, b = rng.sample(["Alice", "Robert", "Nora", "Ivan", "Edda", "Pavel"], 2)
+    n, m, k = (str(rng.randrange(2, 99)) + rng.choice(["", ".5"]) for _ in range(3))
+    if t is STORIES[0]:
+        return t.replace("Alice", a).replace("3", n).replace("2", m)
+    return t.replace("{a}", a).replace("{b}", b).replace("{n}", n).replace("{m}", m).replace("{k}", k).replace(" km ", rng.choice([" km ", " miles "])).replace(" kg ", rng.choice([" kg ", " pounds "]))
+
+
+def test_variants_are_found_one_or_two_a_document(spark):
+    rng = random.Random(12)
+    items = [(i, story(t, rng)) for i, t in enumerate(STORIES)]
+    docs, holds = [], {}
+    for d in range(160):
+        i, many = d % 5, 1 + d // 5 % 2
+        said = [story(STORIES[i], rng) for _ in range(many)]
+        holds[d] = i
+        docs.append((d, prose(d, 30) + ". " + rng.choice([" ", " " + prose(d + 500, 40) + ". "]).join(said) + " " + prose(d + 900, 30)))
+    docs += [(1000 + d, " ".join(prose(2000 + d, 80).capitalize().split())) for d in range(60)]
+    got = {(r.doc_id, r.item_id) for r in dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= set(holds.items()) and len(got) >= 0.95 * len(holds)
+
+
+def test_items_of_numbers_and_repeated_templates(spark):
+    items = [(0, "12 34 56 78 90 11 23"), (1, "What is 12 * 15 + 30 / 4?"), (2, "Ann has 3 old cats. Bob has 4 old cats. Cid has 5 old cats. Dan has 6 old cats. Who has most?")]
+    docs = [f"{prose(1, 20)} {items[0][1]} {prose(2, 20)}", f"{prose(3, 20)} {items[1][1]} {prose(4, 20)}", items[2][1], items[2][1].replace("Bob", "Eve").replace("6", "9"), "12 34 56 78 90 11 24 9 8 7 6 5", "What is 13 * 16 + 31 / 5?", "Ann has 3 old cats. " + prose(5, 30)]
+    got = {(r.doc_id, r.item_id): r.kind for r in dc.matches(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 0): "verbatim", (1, 1): "verbatim", (2, 2): "verbatim", (3, 2): "re-parameterised"}
+    assert {k: v[2] for k, v in brute(list(enumerate(docs)), items).items()} == got
 
 
 def test_odd_rows(spark):
