@@ -49,7 +49,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.found(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.found(docs, trees=pii.train(docs)).drop("text")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
