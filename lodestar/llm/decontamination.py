@@ -32,7 +32,7 @@ UNITS = (
     "kmh", "mph", "w", "kw", "mw", "kwh", "v", "a", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb",
     "usd", "eur", "gbp", "dollars", "euros", "pounds", "cents", "percent", "degrees",
 )
-SLOT = "⟦([anu])[^⟧]*⟧"
+SLOT = "⟦([anu])[^⟧]*+⟧"
 
 
 def _bare(t: Column) -> Column:
@@ -63,12 +63,13 @@ def windows(texts: DataFrame, key: str) -> DataFrame:
     word = "[^ ]++"
     pattern = "(?<![^ ])(?=(" + " ".join([word] * SIZE) + "))"
     t = templates(texts, key).select(key, "template", F.regexp_extract_all("template", F.lit(pattern), F.lit(1)).alias("all"))
-    t = t.select(key, F.when(F.size("all") > 0, F.col("all")).when(F.col("template") != "", F.array("template")).alias("all"))
+    t = t.select(key, F.when(F.size("all") > 0, SIZE).otherwise(F.size(F.split("template", " "))).alias("words"), F.when(F.size("all") > 0, F.col("all")).when(F.col("template") != "", F.array("template")).alias("all"))
     # The outer form: before the inner one Spark would put a filter that makes the windows once more.
-    each = t.select(key, F.posexplode_outer("all").alias("pos", "window"))
-    slots = F.length("window") - F.length(F.translate("window", "⟦", ""))
-    words = F.length("window") - F.length(F.translate("window", " ", "")) + 1
-    each = each.withColumn("weak", (F.instr("window", "⟦") > 0) & (words - slots < F.least(F.lit(LITERALS), words)))
+    each = t.select(key, "words", F.posexplode_outer("all").alias("pos", "window"))
+    # At most so many placeholders leave ``LITERALS`` words, or all words of a shorter text.
+    most = F.greatest(F.col("words") - LITERALS, F.lit(0))
+    weak = F.when(most == SIZE - LITERALS, F.col("window").like("%⟦" * (SIZE - LITERALS + 1) + "%")).otherwise(F.length("window") - F.length(F.translate("window", "⟦", "")) > most)
+    each = each.select(key, "pos", "window", F.when(F.instr("window", "⟦") > 0, weak).otherwise(False).alias("weak"))
     bare = F.when((F.instr("window", "⟦") == 0) | F.col("weak"), F.col("window")).otherwise(F.regexp_replace("window", SLOT, "⟦$1⟧"))
     return each.withColumn("hash", F.xxhash64(bare))
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: A map's lookup is a scan of its keys, so it holds some hundreds of rules at most.
 MOST_MAPPED = 200
+#: Literal tokens of all rules that may be broadcast.
+MOST_BROADCAST = 100_000
 SEPARATOR = r"(?:^|\z|[^A-Za-z0-9])"
 
 
@@ -101,7 +103,11 @@ def rule_table(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFra
     known = rules.where("expression is not null").select("rule", "verdict", "rank", F.coalesce("host_only", F.lit(False)).alias("host_only"), pattern(F.col("expression")).alias("pattern"), literal_tokens(F.col("expression")).alias("tokens"))
     each = known.select("rule", "verdict", "pattern", "rank", "host_only", F.explode_outer("tokens").alias("token")).na.fill({"token": ""})
     asked = each.select("token").where("token <> ''").distinct()
-    held = pages.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token")).join(asked, "token", "left_semi").groupBy("token").count()
+    held = pages.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token"))
+    if asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        held = held.join(F.broadcast(asked), "token", "left_semi")
+    # Beyond that all tokens are counted: a join before the count would bring a token that most URLs hold to one task.
+    held = held.groupBy("token").count()
     rarest = F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token"))
     return each.join(held, "token", "left").groupBy("rule", "verdict", "pattern", "rank", "host_only").agg(rarest.alias("token"))
 
