@@ -114,7 +114,8 @@ def risk(answer: Column, evidence: Column) -> Column:
 
 def clean_answer(c: Column) -> Column:
     """An answer without hidden thoughts and code fences."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "(?is)<think>.*?</think>", ""), "(?m)^```[a-z]*\\s*$", ""))
+    bare = F.regexp_replace(F.regexp_replace(c, "(?is)<think>.*?</think>", ""), "(?m)^```[a-z]*\\s*$", "")
+    return F.regexp_replace(bare, r"^\s+|\s+$", "")
 
 
 def prefixed(c: Column, prefix: str) -> Column:

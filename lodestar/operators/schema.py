@@ -58,6 +58,6 @@ def index(df: DataFrame) -> dict[str, Column]:
         if size and size["n_values"] <= MOST_VALUES:
             rows = df.select(F.trim(f.name).alias("v")).where("v <> '' and lower(v) <> 'nan'").distinct().collect()
             values = tuple(sorted(r["v"] for r in rows))
-        parts = sorted({p.strip() for v in values for p in v.split(",") if len(p.strip()) >= LEAST_PART}) if any("," in v for v in values[:5]) else []
+        parts = sorted({p.strip() for v in values for p in v.split(",") if len(p.strip()) >= LEAST_PART}) if any("," in v for v in values) else []
         out[f.name] = Column(f.name, size["match"] if size else "exact", f.name not in UNFILTERED, values, tuple(parts))
     return out

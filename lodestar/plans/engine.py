@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..config import Settings
+from ..functions import text
 from ..operators import aggregates, chunks, predicates, retrieval, schema, terms
 from . import matcher, operations, rewrite
 
@@ -23,6 +25,7 @@ class Answer:
     evidence: list[str]
     unmatched: list[str] = field(default_factory=list)
     fell_back: bool = False
+    risk: str = "High"
 
 
 class Engine:
@@ -63,6 +66,10 @@ class Engine:
         if filters:
             entity = predicates.entity_search(base, filters).withColumn("score", F.lit(1)).orderBy("_row_id").limit(s.probe_top_k)
             lists.append(retrieval.ranks(entity, "_row_id", len(lists)))
+        # Probes that find few rows are joined by a wide search for the question itself.
+        weak = len(lists) > 0 and reduce(DataFrame.unionByName, [x.select("_row_id") for x in lists]).distinct().limit(s.least_rows).count() < s.least_rows
+        if weak:
+            lists.append(retrieval.ranks(retrieval.overlap(base, q, columns, "_row_id", s.fused_top_k), "_row_id", len(lists)))
         fused = retrieval.rrf(lists, "_row_id", k=k or s.fused_top_k).select("_row_id", F.col("score").alias("_score"))
         return base.join(F.broadcast(fused), "_row_id")
 
@@ -109,7 +116,17 @@ class Engine:
         lines = [" | ".join(f"{labels[c]}: {v}" for c, v in r.asDict().items() if v is not None and c not in ("_row_id", "_score", *schema.SKIPPED)) for r in head]
         total = head[0]["count"] if kind == "count" else len(head)
         said = f"There are {total}." if kind == "count" else "; ".join(lines[:5]) or "Nothing found."
-        return Answer(q, kind, said, operations.support_level(total, bool(filters), bool(found.unmatched)), filters, lines, found.unmatched, fell_back)
+        said, risk = self.said(q, said, lines)
+        return Answer(q, kind, said, operations.support_level(total, bool(filters), bool(found.unmatched)), filters, lines, found.unmatched, fell_back, risk)
+
+    def said(self, q: str, plain: str, lines: list[str]) -> tuple[str, str]:
+        """The generator's answer from the evidence, cleaned, or ``plain`` without one; and its risk, by what of it the evidence lacks."""
+        prompt = f"Answer from the evidence alone.\nQuestion: {q}\nFound: {plain}\nEvidence:\n" + "\n".join(lines)
+        raw = self.generator.generate(prompt) if self.generator else plain
+        held = "\n".join([plain, *lines]) if lines else ""
+        row = self.table.sparkSession.createDataFrame([(raw, held)], "answer string, evidence string")
+        row = row.select(text.clean_answer(F.col("answer")).alias("answer"), "evidence")
+        return tuple(row.select("answer", text.risk(F.col("answer"), F.col("evidence"))).first())
 
     def answers(self, asked: list[str]) -> DataFrame:
         """A row for each question; one that fails has the error as its answer."""
@@ -117,7 +134,7 @@ class Engine:
         for q in asked:
             try:
                 a = asdict(self.answer(q))
-                rows.append((q, a["operation"], a["answer"], a["support"], len(a["evidence"]), a["fell_back"]))
+                rows.append((q, a["operation"], a["answer"], a["support"], len(a["evidence"]), a["fell_back"], a["risk"]))
             except Exception as e:
-                rows.append((q, "error", f"{type(e).__name__}: {e}"[:200], "Not Supported", 0, False))
-        return self.table.sparkSession.createDataFrame(rows, "question string, operation string, answer string, support string, evidence_count long, fell_back boolean")
+                rows.append((q, "error", f"{type(e).__name__}: {e}"[:200], "Not Supported", 0, False, "High"))
+        return self.table.sparkSession.createDataFrame(rows, "question string, operation string, answer string, support string, evidence_count long, fell_back boolean, risk string")

@@ -449,31 +449,54 @@ def support_level(spark, d):
     return table(spark, d, "part").select("p_partkey", operations.support(n % 5, n % 2 == 1, n % 3 != 0).alias("support"))
 
 
+WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9_]+'), lambda w: length(w) >= 3))"
+
+
+@query(f"""WITH q AS (SELECT item_id, unnest({WORDS.format(c='text')}) AS w FROM benchmark), g AS (SELECT doc_id, unnest({WORDS.format(c='text')}) AS w FROM documents),
+n AS (SELECT item_id, doc_id, count(*) AS shared FROM q JOIN g USING (w) GROUP BY ALL HAVING count(*) >= 5) SELECT item_id, doc_id, shared FROM n QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) = 1""")
+def qa_best_match(spark, d):
+    return operations.best_answers(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
+
+
+def best_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """``item_id, doc_id`` and both texts of each benchmark item and the document that shares most words with it."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("asked"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("given"))
+    return qa_best_match(spark, d).join(items, "item_id").join(docs, "doc_id")
+
+
+BEST = f"(SELECT item_id, doc_id, b.text AS asked, g.text AS given FROM ({SQL['qa_best_match']}) JOIN benchmark b USING (item_id) JOIN documents g USING (doc_id))"
 PUNCT = r"""^[.,;?!\"''()\[\]{}:]+|[.,;?!\"''()\[\]{}:]+$"""
 STOPS = ", ".join(f"'{w}'" for w in text.ANSWER_STOP_WORDS)
 
 
-@query(rf"""WITH b AS (SELECT text AS e FROM benchmark ORDER BY item_id LIMIT 1), w AS (SELECT doc_id, e, list_filter(list_transform(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: lower(regexp_replace(w, '{PUNCT}', '', 'g'))), lambda w: length(w) > 4 AND NOT list_contains([{STOPS}], w) AND NOT regexp_matches(w, '^[0-9]+$')) AS ws FROM documents, b),
-r AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda w: NOT contains(lower(e), w))) / greatest(len(ws), 1) AS ratio FROM w)
-SELECT doc_id, CASE WHEN n = 0 THEN 'Low' WHEN ratio < 0.2 THEN 'Low' WHEN ratio < 0.45 THEN 'Medium' ELSE 'High' END AS risk FROM r""")
+@query(rf"""WITH w AS (SELECT item_id, doc_id, given AS e, list_filter(list_transform(regexp_split_to_array(asked, '[ \t\n\r]+'), lambda w: lower(regexp_replace(w, '{PUNCT}', '', 'g'))), lambda w: length(w) > 4 AND NOT list_contains([{STOPS}], w) AND NOT regexp_matches(w, '^[0-9]+$')) AS ws FROM {BEST}),
+r AS (SELECT item_id, doc_id, len(ws) AS n, len(list_filter(ws, lambda w: NOT contains(lower(e), w))) / greatest(len(ws), 1) AS ratio FROM w)
+SELECT item_id, doc_id, CASE WHEN n = 0 THEN 'Low' WHEN ratio < 0.2 THEN 'Low' WHEN ratio < 0.45 THEN 'Medium' ELSE 'High' END AS risk FROM r""")
 def risk_label(spark, d):
-    first = table(spark, d, "benchmark").orderBy("item_id").limit(1).select(F.col("text").alias("e"))
-    return table(spark, d, "documents").join(F.broadcast(first)).select("doc_id", text.risk(F.col("text"), F.col("e")).alias("risk"))
+    return best_pairs(spark, d).select("item_id", "doc_id", text.risk(F.col("asked"), F.col("given")).alias("risk"))
 
 
-WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9_]+'), lambda w: length(w) >= 3))"
+@query(f"SELECT item_id, doc_id, round(CASE WHEN len({WORDS.format(c='asked')}) > 0 AND len({WORDS.format(c='given')}) > 0 THEN 2.0 * len(list_intersect({WORDS.format(c='asked')}, {WORDS.format(c='given')})) / (len({WORDS.format(c='asked')}) + len({WORDS.format(c='given')})) ELSE 0.0 END, 6) AS f1 FROM {BEST}")
+def token_f1(spark, d):
+    return best_pairs(spark, d).select("item_id", "doc_id", r6(text.token_f1(F.col("asked"), F.col("given"))).alias("f1"))
 
 
-@query(f"SELECT b.item_id, d.doc_id, round(CASE WHEN len({WORDS.format(c='b.text')}) > 0 AND len({WORDS.format(c='d.text')}) > 0 THEN 2.0 * len(list_intersect({WORDS.format(c='b.text')}, {WORDS.format(c='d.text')})) / (len({WORDS.format(c='b.text')}) + len({WORDS.format(c='d.text')})) ELSE 0.0 END, 6) AS f1 FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id")
-def token_f1(spark, d):
-    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    return b.join(docs, docs["doc_id"] % 40 == b["item_id"]).select("item_id", "doc_id", r6(text.token_f1(b["text"], docs["text"])).alias("f1"))
+@query(r"SELECT doc_id, trim(lower(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS norm FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\x00-\x7F]*$')")
+def norm_text(spark, d):
+    return table(spark, d, "documents").where(F.regexp_like("text", F.lit(r"^[\x00-\x7F]*$"))).select("doc_id", text.flat(F.col("text")).alias("norm"))
 
 
-@query(f"""WITH q AS (SELECT item_id, unnest({WORDS.format(c='text')}) AS w FROM benchmark), g AS (SELECT doc_id, unnest({WORDS.format(c='text')}) AS w FROM documents),
-n AS (SELECT item_id, doc_id, count(*) AS shared FROM q JOIN g USING (w) GROUP BY ALL HAVING count(*) >= 5) SELECT item_id, doc_id, shared FROM n QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) = 1""")
-def qa_best_match(spark, d):
-    return operations.best_answers(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
+@query("SELECT p_partkey, trim(p_name || ' ' || p_brand) AS answer FROM part")
+def clean_answer(spark, d):
+    said = F.concat(F.lit("<think>" + "so\n" + "</think>\n```json\n"), "p_name", F.lit(" "), "p_brand", F.lit("\n```"))
+    return table(spark, d, "part").select("p_partkey", text.clean_answer(said).alias("answer"))
+
+
+@query(rf"""WITH t AS (SELECT id, regexp_extract_all(q, '[A-Za-z0-9]+(?:/[A-Za-z0-9]+)*') AS w FROM {QUESTIONS})
+SELECT id, gram FROM (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' ')))) AS gram FROM t) WHERE length(gram) >= 3""")
+def question_ngrams(spark, d):
+    return questions(spark).select("id", F.explode(text.question_ngrams(F.col("q"), 2)).alias("gram"))
 
 
 @query(f"WITH f AS ({SQL['token_f1']}) SELECT count(*) AS n, round(avg(f1), 6) AS mean_f1, count(*) FILTER (f1 >= 0.8) AS good, count(*) FILTER (f1 >= 0.5) AS fair, count(*) FILTER (f1 = 0) AS none FROM f")

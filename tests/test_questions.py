@@ -104,6 +104,16 @@ def test_engine(spark):
     assert e.vocabulary(kb(spark))
 
 
+def test_answers_come_from_the_generator_with_a_risk(spark):
+    class Says:
+        def generate(self, prompt):
+            return "<think>hm</think>Fulton County has the highest" if "Evidence" in prompt else "none"
+
+    a = engine.Engine(kb(spark), config.Settings(most_probes=1), Says()).answer("Which county has the highest total employment?")
+    assert a.answer == "Fulton County has the highest" and a.risk in ("Low", "Medium", "High")
+    assert engine.Engine(kb(spark)).answer("How many companies?").risk == "Low"
+
+
 def test_filters(spark):
     df, match = kb(spark), {"category": "exact", "company": "exact", "updated_location": "partial"}
     assert predicates.filtered(df, {"category": ["tier 1"]}, match).count() == 1
