@@ -13,7 +13,7 @@ SKIPPED = ("_row_id", "latitude", "longitude", "address")
 UNFILTERED = ("classification_method", "supplier_or_affiliation_type")
 PARTIAL = ("primary_oems",)
 MOST_EXACT, LONGEST_EXACT, LEAST_PART = 60, 50, 3
-#: Values of a column that the driver may hold; columns with more are matched by scans alone.
+#: Values of a column that the driver may hold; of columns with more it gets those that a question names, by a join.
 MOST_VALUES = 10_000
 
 
@@ -24,6 +24,11 @@ class Column:
     filterable: bool = True
     values: tuple[str, ...] = ()
     parts: tuple[str, ...] = field(default=())
+    n_values: int = 0
+
+    @property
+    def held(self) -> bool:
+        return self.n_values <= MOST_VALUES
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -59,5 +64,5 @@ def index(df: DataFrame) -> dict[str, Column]:
             rows = df.select(F.trim(f.name).alias("v")).where("v <> '' and lower(v) <> 'nan'").distinct().collect()
             values = tuple(sorted(r["v"] for r in rows))
         parts = sorted({p.strip() for v in values for p in v.split(",") if len(p.strip()) >= LEAST_PART}) if any("," in v for v in values) else []
-        out[f.name] = Column(f.name, size["match"] if size else "exact", f.name not in UNFILTERED, values, tuple(parts))
+        out[f.name] = Column(f.name, size["match"] if size else "exact", f.name not in UNFILTERED, values, tuple(parts), size["n_values"] if size else 0)
     return out

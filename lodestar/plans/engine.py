@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -52,7 +52,7 @@ class Engine:
             for want in (("county",), ("location", "city", "address")):
                 if hit := [c for c in names if any(w in c.lower() for w in want)]:
                     return hit[0]
-        shared = sorted((-len(asked & matcher.token_set(c.replace("_", " "))), len(self.index[c].values) if c in self.index else 0, c) for c in names)
+        shared = sorted((-len(asked & matcher.token_set(c.replace("_", " "))), self.index[c].n_values if c in self.index else 0, c) for c in names)
         return shared[0][2] if shared and shared[0][0] else None
 
     def retrieve(self, q: str, k: int | None = None, searched: DataFrame | None = None, filters: dict[str, list[str]] | None = None) -> DataFrame:
@@ -102,11 +102,26 @@ class Engine:
             return aggregates.single_points(self.table, role, "company") if role else rows.limit(0)
         return rows
 
+    def known(self, q: str) -> dict[str, schema.Column]:
+        """The columns, those of too many values to hold with the values that the question names."""
+        many = [c for c in self.index.values() if not c.held and c.filterable]
+        if not many:
+            return self.index
+        cells = self.table.select(F.explode(F.array(*[F.struct(F.lit(c.name).alias("column"), F.trim(c.name).alias("value")) for c in many])).alias("x")).select("x.*")
+        cells = cells.where("value <> '' and lower(value) <> 'nan'").withColumn("part", F.lit(False))
+        parts = cells.where(F.contains("value", F.lit(","))).select("column", F.explode(F.split("value", ",")).alias("value")).select("column", F.trim("value").alias("value"), F.lit(True).alias("part"))
+        cells = cells.unionByName(parts.where(F.length("value") >= schema.LEAST_PART)).distinct()
+        asked = self.table.sparkSession.createDataFrame([(0, q)], "id int, q string")
+        hits = operations.value_matches(asked, cells).select("value").distinct().join(cells, "value").collect()
+        named = lambda c, part: tuple(sorted(r["value"] for r in hits if r["column"] == c.name and r["part"] == part))
+        return self.index | {c.name: replace(c, values=named(c, False), parts=named(c, True)) for c in many}
+
     def answer(self, q: str, n: int = 1) -> Answer:
         op, intent = operations.detect(q), operations.effective_intent(q, self.settings.strict)
         kind = str(intent["type"])
-        found = matcher.match(q, self.index)
-        filters = predicates.merged(found.filters, matcher.resolve(q, self.index).filters, self.table.columns)
+        index = self.known(q)
+        found = matcher.match(q, index)
+        filters = predicates.merged(found.filters, matcher.resolve(q, index).filters, self.table.columns)
         if matcher.tiers(q):
             filters = {c: kept for c, vs in filters.items() if (kept := [v for v in vs if matcher.is_tier_column(c) or not operations.kind_of(v) == "tier"])}
         rows, fell_back = self.base(q, kind, filters, bool(op["exhaustive"]))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar import config, service
-from lodestar.operators import predicates, retrieval
+from lodestar.operators import predicates, retrieval, schema
 from lodestar.operators.schema import Column
 from lodestar.plans import engine, matcher, operations, rewrite
 from lodestar.sources import files, upsert, xlsx
@@ -114,6 +114,15 @@ def test_answers_come_from_the_generator_with_a_risk(spark):
     assert engine.Engine(kb(spark)).answer("How many companies?").risk == "Low"
 
 
+def test_values_of_long_columns_filter_as_those_of_short_ones(spark, monkeypatch):
+    asked = ("How many Tier 1/2 companies?", "How many companies in Savannah, Chatham County?", "Show Beta", "Which county has the highest total employment?")
+    short = [engine.Engine(kb(spark), config.Settings(most_probes=1)).answer(q) for q in asked]
+    monkeypatch.setattr(schema, "MOST_VALUES", 1)
+    long = [engine.Engine(kb(spark), config.Settings(most_probes=1)).answer(q) for q in asked]
+    assert [(a.operation, a.answer, a.filters) for a in short[1:]] == [(a.operation, a.answer, a.filters) for a in long[1:]]
+    assert long[0].answer == "There are 2."
+
+
 def test_filters(spark):
     df, match = kb(spark), {"category": "exact", "company": "exact", "updated_location": "partial"}
     assert predicates.filtered(df, {"category": ["tier 1"]}, match).count() == 1
