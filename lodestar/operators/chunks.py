@@ -56,6 +56,20 @@ def children(parents: DataFrame, chunks: dict[str, tuple[str, ...]] | None = Non
     return parents.select(F.inline(F.array(*[chunk(k, f) for k, f in (chunks or CHUNKS).items()])))
 
 
+def exported(parents: DataFrame, children: DataFrame) -> dict[str, DataFrame]:
+    """What people read of the chunks, by the name of its sheet."""
+    return {
+        "parents": parents.select("record_id", "source_row_id", "parent_chunk_text"),
+        "children": children.select("chunk_id", "parent_record_id", "chunk_type", "embedding_text"),
+    }
+
+
+def payload(children: DataFrame) -> DataFrame:
+    """Chunks with their metadata as columns, NULL where a kind of chunk lacks the field."""
+    fields = F.from_json("metadata", ", ".join(f"{c} string" for c in FIELDS))
+    return children.withColumn("fields", fields).select("chunk_id", "parent_record_id", "chunk_type", "source_type", "source_row_id", "embedding_text", "fields.*")
+
+
 def integrity(parents: DataFrame, children: DataFrame, each: int = len(CHUNKS)) -> DataFrame:
     """``problem, n``: orphans, ids used twice, parents with another number of chunks, and the surplus of chunks."""
     orphans = children.join(parents, children["parent_record_id"] == parents["record_id"], "left_anti").agg(F.count(F.lit(1)).alias("n"))

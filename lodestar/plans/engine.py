@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
+from time import monotonic
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..config import Settings
 from ..functions import text
 from ..operators import aggregates, chunks, predicates, retrieval, schema, terms
+from ..sources.written import materialize
 from . import matcher, operations, rewrite
 
 
@@ -31,8 +34,9 @@ class Answer:
 class Engine:
     """Holds a knowledge table (with ``_row_id``) and what is known of its columns."""
 
-    def __init__(self, table: DataFrame, settings: Settings | None = None, generator: rewrite.Generator | None = None):
-        self.table, self.settings, self.generator = table, settings or Settings(), generator
+    def __init__(self, table: DataFrame, settings: Settings | None = None, generator: rewrite.Generator | None = None, embed: Callable[[Column], Column] | None = None):
+        self.table, self.settings, self.generator, self.embed = table, settings or Settings(), generator, embed
+        self.vectors: DataFrame | None = None
         self.index = schema.index(table)
         self.match = predicates.matches(self.index)
 
@@ -66,6 +70,8 @@ class Engine:
         if filters:
             entity = predicates.entity_search(base, filters).withColumn("score", F.lit(1)).orderBy("_row_id").limit(s.probe_top_k)
             lists.append(retrieval.ranks(entity, "_row_id", len(lists)))
+        for near in self.nearest(rewrite.probes(q, self.index, None)[: s.most_probes], base):
+            lists.append(retrieval.ranks(near, "_row_id", len(lists)))
         # Probes that find few rows are joined by a wide search for the question itself.
         weak = len(lists) > 0 and reduce(DataFrame.unionByName, [x.select("_row_id") for x in lists]).distinct().limit(s.least_rows).count() < s.least_rows
         if weak:
@@ -73,6 +79,17 @@ class Engine:
         fused = retrieval.rrf(lists, "_row_id", k=k or s.fused_top_k).select("_row_id", F.col("score").alias("_score"))
         return base.join(F.broadcast(fused), "_row_id")
 
+    def nearest(self, asked: list[str], base: DataFrame) -> list[DataFrame]:
+        """The rows of ``base`` nearest to each probe; none without an embedder. The table's vectors are made once, as a written table."""
+        if not self.embed:
+            return []
+        if self.vectors is None:
+            body = chunks.row_text(self.table, [c for c, t in self.table.dtypes if t == "string"])
+            self.vectors = materialize(self.table.select("_row_id", self.embed(body).alias("embedding")), "vectors")
+        known = self.vectors.join(base.select("_row_id"), "_row_id", "left_semi")
+        probes = self.table.sparkSession.createDataFrame(list(enumerate(asked)), "n int, probe string").select("n", self.embed(F.col("probe")).alias("v")).orderBy("n").collect()
+        return [retrieval.vector_search(known, r["v"], "_row_id", k=self.settings.top_k, threshold=self.settings.threshold).select("_row_id", "score") for r in probes]
+
     def vocabulary(self, rows: DataFrame) -> list[str]:
         return [r["term"] for r in terms.discover(rows, self.match, least=self.settings.least_frequency, top=self.settings.most_terms).collect()]
 
@@ -145,11 +162,21 @@ class Engine:
 
     def answers(self, asked: list[str]) -> DataFrame:
         """A row for each question; one that fails has the error as its answer."""
+        return self.timed(asked).drop("seconds")
+
+    def timed(self, asked: list[str]) -> DataFrame:
         rows = []
         for q in asked:
+            begun = monotonic()
             try:
                 a = asdict(self.answer(q))
-                rows.append((q, a["operation"], a["answer"], a["support"], len(a["evidence"]), a["fell_back"], a["risk"]))
+                row = (q, a["operation"], a["answer"], a["support"], len(a["evidence"]), a["fell_back"], a["risk"])
             except Exception as e:
-                rows.append((q, "error", f"{type(e).__name__}: {e}"[:200], "Not Supported", 0, False, "High"))
-        return self.table.sparkSession.createDataFrame(rows, "question string, operation string, answer string, support string, evidence_count long, fell_back boolean, risk string")
+                row = (q, "error", f"{type(e).__name__}: {e}"[:200], "Not Supported", 0, False, "High")
+            rows.append((*row, monotonic() - begun))
+        return self.table.sparkSession.createDataFrame(rows, "question string, operation string, answer string, support string, evidence_count long, fell_back boolean, risk string, seconds double")
+
+    def evaluated(self, sheet: DataFrame) -> DataFrame:
+        """A sheet of questions with human answers, each with its answer, the F1 of both and the seconds it took. Sheets are written by people, so their questions fit the driver."""
+        asked = [r["question"] for r in sheet.select("question").distinct().orderBy("question").collect()]
+        return sheet.join(F.broadcast(self.timed(asked)), "question").withColumn("f1", F.coalesce(text.token_f1(F.col("answer"), F.col("human_answer")), F.lit(0.0)))

@@ -118,6 +118,11 @@ def effective_intent(q: str, strict: bool = False) -> dict[str, object]:
     return {"type": op["operation"], "direction": op["direction"]}
 
 
+def analytical_tokens(q: str) -> set[str]:
+    """The words of a question's analytical phrases, which never filter."""
+    return {w for m in re.finditer(bounded(ANALYTICAL), q or "", re.I | re.A) for w in m[0].lower().split()}
+
+
 def is_analytical_phrase(phrase: str) -> bool:
     return re.fullmatch(bounded(ANALYTICAL), phrase.strip(), re.I | re.A) is not None
 
@@ -204,6 +209,12 @@ def summary(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("n"), F.avg(f1).alias("mean_f1"), F.count_if(f1 >= 0.8).alias("good"), F.count_if(f1 >= 0.5).alias("fair"), F.count_if(f1 == 0).alias("none"))
 
 
+def support_counts(scored: DataFrame) -> DataFrame:
+    """``support, n, with_evidence``: answers by support, the commonest first, and how many of them have any evidence."""
+    counts = scored.groupBy("support").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("evidence_count") > 0).alias("with_evidence"))
+    return counts.orderBy(F.col("n").desc(), "support")
+
+
 def retrieval_quality(found_rows: DataFrame, key: str, score: str, hits: dict[str, str]) -> DataFrame:
     """One row: distinct rows, mean score, and whether each word stands in its column."""
     return found_rows.agg(

@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass
 from typing import Protocol
 
 from ..operators.schema import Column
-from . import matcher
+from . import matcher, operations
 
 #: The keys that each stage's answer must have.
 PROBE_KEYS = ("intent", "target_columns", "probe_queries", "explicit_filters", "is_broad")
 QUERY_KEYS = ("final_rewritten_queries", "confidence", "mapped_user_phrases")
-MOST_PROBES, MOST_QUERIES, MOST_UNKNOWN, ATTEMPTS = 10, 6, 2, 2
+MOST_PROBES, MOST_QUERIES, MOST_UNKNOWN, MOST_TERMS, ATTEMPTS = 10, 6, 2, 30, 2
+#: What names the whole table's place, and where that is noted.
+EVERYWHERE = ("georgia", "ga", "state of georgia")
+SCOPE = "__dataset_scope"
 
 
 class Generator(Protocol):
@@ -43,6 +47,74 @@ def asked(generator: Generator | None, prompt: str, keys: tuple[str, ...]) -> di
     return None
 
 
+def as_list(value: object, most: int | None = None) -> list[str]:
+    """Nothing, one value or several as distinct strings, without blank ones, in order."""
+    items = [] if value is None else value if isinstance(value, list | tuple | set) else [value]
+    return list(dict.fromkeys(t for v in items if (t := str(v).strip())))[:most]
+
+
+def as_bool(value: object, default: bool = False) -> bool:
+    if isinstance(value, str):
+        return value.strip().lower() in ("true", "yes", "1")
+    return value if isinstance(value, bool) else default
+
+
+def plain_name(name: object) -> str:
+    return re.sub(r"[^a-z0-9]+", "_", str(name).lower()).strip("_")
+
+
+def target_columns(said: object, index: dict[str, Column]) -> list[str]:
+    """The columns that a generator named, whatever their spelling; made-up ones are left out."""
+    real = {plain_name(c): c for c in index}
+    return list(dict.fromkeys(real[k] for c in as_list(said) if (k := plain_name(c)) in real))
+
+
+def explicit_filters(said: object, index: dict[str, Column], everywhere: tuple[str, ...] = EVERYWHERE) -> dict[str, str]:
+    """Filters on real columns. What holds for the whole table (its state, say) is noted under ``SCOPE`` and filters no place."""
+    out: dict[str, str] = {}
+    for name, value in said.items() if isinstance(said, dict) else ():
+        value, column = str(value).strip(), next(iter(target_columns([name], index)), None)
+        scope = column is None and plain_name(name) in ("dataset_scope", "scope", "kb_scope")
+        wide = column is not None and value.lower() in everywhere and any(w in plain_name(column) for w in ("location", "county", "city"))
+        if value and (scope or wide):
+            out[SCOPE] = value
+        elif value and column:
+            out[column] = value
+    return out
+
+
+@dataclass(frozen=True)
+class Mapped:
+    phrase: str
+    terms: tuple[str, ...]
+    confidence: str
+
+
+def mapped_phrases(said: object, discovered: dict[str, list[str]]) -> tuple[list[Mapped], list[str]]:
+    """A generator's phrases with those of their terms that were found in columns which such a phrase may mean, and what was refused.
+
+    ``discovered`` has each found term's columns. A phrase that loses terms is less trusted; one that asks for an operation maps to nothing.
+    """
+    if not isinstance(said, list):
+        return [], ["not a list"]
+    known = {t.lower(): t for t in discovered}
+    out, refused = [], []
+    for item in (x for x in said if isinstance(x, dict)):
+        phrase, asked_ = str(item.get("user_phrase", "")).strip(), as_list(item.get("kb_supported_terms"), MOST_TERMS)
+        kind = operations.kind_of(phrase)
+        if kind == "analytical":
+            refused.append(f"operation: {phrase}")
+            continue
+        fits = lambda t: kind == "general" or not discovered[t] or any(operations.fits_column(phrase, c) for c in discovered[t])  # noqa: E731, B023
+        kept = [known[t.lower()] for t in asked_ if t.lower() in known and fits(known[t.lower()])]
+        refused += [f"term: {t}" for t in asked_ if known.get(t.lower()) not in kept]
+        said_ = str(item.get("confidence", "")).strip().lower()
+        trust = said_ if said_ in ("low", "medium", "high") else "low"
+        trust = "low" if asked_ and not kept else "medium" if len(kept) < len(asked_) and trust == "high" else trust
+        out.append(Mapped(phrase, tuple(dict.fromkeys(kept)), trust))
+    return out, refused
+
+
 def schema_lines(index: dict[str, Column]) -> str:
     return "\n".join(f"- {c.name}: {c.match}" + (", filterable" if c.filterable else "") for c in index.values())
 
