@@ -15,6 +15,7 @@ class Settings:
     least_rows: int = 5
     least_frequency: int = 2
     most_terms: int = 30
+    least_terms: int = 2
     most_evidence: int = 50
     threshold: float = 0.35
     #: Keep the older routing, where a list asked in order is a list.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions import text
+from ..sources.written import materialize
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,6 +65,43 @@ def postings(docs: DataFrame, key: str, body: Column) -> DataFrame:
     return each.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+@dataclass(frozen=True)
+class Kept:
+    """A written index for many BM25 queries: postings in order of their terms, and three figures of the whole table."""
+
+    held: DataFrame
+    n: int
+    mean_length: float
+    floor: float
+
+
+def keep(docs: DataFrame, key: str, body: Column, epsilon: float = 0.25) -> Kept:
+    """Postings are spread by term and key, so a frequent term is in many files, and a rare one is read from few."""
+    whole = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(body))).alias("mean")).first()
+    held = materialize(postings(docs, key, body).repartitionByRange("term", key).sortWithinPartitions("term", key), "postings")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    floor = df.agg(F.avg(F.log(whole["n"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)) * epsilon).first()[0]
+    return Kept(held, whole["n"], whole["mean"] or 1.0, floor or 0.0)
+
+
+def best(scored: DataFrame, key: str, k: int) -> DataFrame:
+    """``probe, key, rank`` of each probe's ``k`` best rows, ranks from 0."""
+    order = Window.partitionBy("probe").orderBy(F.col("score").desc(), key)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("probe", key, (F.col("rank") - 1).alias("rank"))
+
+
+def bm25_each(kept: Kept, key: str, probes: list[str], k: int = 50, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``probe, key, rank``: ``bm25`` for every probe in one job, which reads the postings of their terms alone."""
+    counts = [(n, t, c) for n, p in enumerate(probes) for t, c in Counter(p.lower().split()).items()]
+    asked = kept.held.sparkSession.createDataFrame(counts, "probe int, term string, times int")
+    hits = kept.held.where(F.col("term").isin(*{t for _, t, _ in counts}))
+    idf = F.log(kept.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    weighed = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.when(idf < 0, kept.floor).otherwise(idf))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / kept.mean_length))
+    scored = hits.join(F.broadcast(weighed.join(F.broadcast(asked), "term")), "term").groupBy("probe", key).agg(F.sum(part).alias("score"))
+    return best(scored.where("score > 0"), key, k)
+
+
 def bm25(docs: DataFrame, key: str, body: Column, query: str, k: int = 50, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi BM25 of one query; a token asked twice counts twice; terms in most documents get a fraction of the mean weight.
 
@@ -83,16 +124,31 @@ def bm25(docs: DataFrame, key: str, body: Column, query: str, k: int = 50, k1: f
     return scored.orderBy(F.col("score").desc(), key).limit(k)
 
 
+#: Fixed value: the words that overlap counts.
+WORD = "[a-z][a-z0-9-]*"
+
+
+def words_asked(query: str) -> list[str]:
+    return sorted(set(re.findall(WORD, query.lower()))) or [""]
+
+
+def words_held(columns: list[str]) -> Column:
+    return F.array_distinct(text.words(WORD, F.lower(F.concat_ws(" ", *[F.col(c) for c in columns]))))
+
+
 def overlap(df: DataFrame, query: str, columns: list[str], key: str, k: int = 50) -> DataFrame:
     """``key, score``: the distinct words of the query that stand in the columns."""
-    import re
-
-    asked = F.lit(sorted(set(re.findall(r"[a-z][a-z0-9-]*", query.lower()))) or [""])
-    mine = text.words("[a-z][a-z0-9-]*", F.lower(F.concat_ws(" ", *[F.col(c) for c in columns])))
-    scored = df.withColumn("score", F.size(F.array_intersect(F.array_distinct(mine), asked))).where("score > 0")
+    scored = df.withColumn("score", F.size(F.array_intersect(words_held(columns), F.lit(words_asked(query))))).where("score > 0")
     return scored.orderBy(F.col("score").desc(), key).limit(k).select(key, "score")
 
 
+def overlap_each(df: DataFrame, probes: list[str], columns: list[str], key: str, k: int = 50) -> DataFrame:
+    """``probe, key, rank``: ``overlap`` for every probe in one scan. Probes are few, and a row goes on for those alone that it shares a word with."""
+    words = df.select(key, words_held(columns).alias("words"))
+    shared = F.array(*[F.struct(F.lit(n).alias("probe"), F.size(F.array_intersect("words", F.lit(words_asked(p)))).alias("score")) for n, p in enumerate(probes)])
+    return best(words.select(key, F.inline(F.filter(shared, lambda x: x["score"] > 0))), key, k)
+
+
 def ranks(found: DataFrame, key: str, source: int) -> DataFrame:
     """One list for fusion: ``list, key, rank`` from 0. The list is a top-k, so its order is one small task."""
     return found.select(F.lit(source).alias("list"), key, (F.row_number().over(Window.orderBy(F.col("score").desc(), key)) - 1).alias("rank"))

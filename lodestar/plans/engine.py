@@ -14,7 +14,7 @@ from pyspark.sql.types import NumericType
 from ..config import Settings
 from ..functions import text
 from ..operators import aggregates, chunks, predicates, retrieval, schema, terms
-from ..sources.written import materialize
+from ..sources.written import drop, materialize
 from . import matcher, operations, rewrite
 
 
@@ -29,6 +29,10 @@ class Answer:
     unmatched: list[str] = field(default_factory=list)
     fell_back: bool = False
     risk: str = "High"
+    method: str = ""
+    confidence: str = "low"
+    queries: list[str] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
 
 
 class Engine:
@@ -37,6 +41,8 @@ class Engine:
     def __init__(self, table: DataFrame, settings: Settings | None = None, generator: rewrite.Generator | None = None, embed: Callable[[Column], Column] | None = None):
         self.table, self.settings, self.generator, self.embed = table, settings or Settings(), generator, embed
         self.vectors: DataFrame | None = None
+        self.postings: retrieval.Kept | None = None
+        self.texts = [c for c, t in table.dtypes if t == "string"]
         self.index = schema.index(table)
         self.match = predicates.matches(self.index)
 
@@ -57,43 +63,74 @@ class Engine:
                 if hit := [c for c in names if any(w in c.lower() for w in want)]:
                     return hit[0]
         shared = sorted((-len(asked & matcher.token_set(c.replace("_", " "))), self.index[c].n_values if c in self.index else 0, c) for c in names)
-        return shared[0][2] if shared and shared[0][0] else None
-
-    def retrieve(self, q: str, k: int | None = None, searched: DataFrame | None = None, filters: dict[str, list[str]] | None = None) -> DataFrame:
-        """Rows by fused BM25, overlap and entity lists of every probe, as one plan."""
-        s, base, lists = self.settings, self.table if searched is None else searched, []
-        columns = [c for c, t in base.dtypes if t == "string"]
-        body = F.lower(chunks.row_text(base, columns, " ", " "))
-        for n, probe in enumerate(rewrite.probes(q, self.index, self.generator)[: s.most_probes]):
-            lists.append(retrieval.ranks(retrieval.bm25(base, "_row_id", body, probe, s.probe_top_k), "_row_id", 2 * n))
-            lists.append(retrieval.ranks(retrieval.overlap(base, probe, columns, "_row_id", s.probe_top_k), "_row_id", 2 * n + 1))
+        if shared and shared[0][0]:
+            return shared[0][2]
+        # Else the first column whose values hold a longer word of the question in three of ten rows.
+        if not names or not (long := sorted(w for w in asked if len(w) >= 4)):
+            return None
+        holds = [F.avg(reduce(Column.__or__, [F.contains(F.lower(c), F.lit(w)) for w in long]).cast("int")).alias(c) for c in names]
+        share = self.table.agg(*holds).first()
+        return next((c for c in names if (share[c] or 0) >= 0.3), None)
+
+    def kept(self) -> retrieval.Kept:
+        """The table's postings, made by the first question that searches."""
+        if self.postings is None:
+            self.postings = retrieval.keep(self.table, "_row_id", F.lower(chunks.row_text(self.table, self.texts, " ", " ")))
+        return self.postings
+
+    def retrieve(self, q: str, k: int | None = None, filters: dict[str, list[str]] | None = None, probes: list[str] | None = None) -> DataFrame:
+        """Rows by fused BM25, overlap, vector and entity lists of every probe; the question and its phrases are the probes if none are given."""
+        s = self.settings
+        probes = (probes or rewrite.probes(q, self.index))[: s.most_probes]
+        each = [retrieval.bm25_each(self.kept(), "_row_id", probes, s.probe_top_k), retrieval.overlap_each(self.table, probes, self.texts, "_row_id", s.probe_top_k)]
+        lists = [found.select((2 * F.col("probe") + n).alias("list"), "_row_id", "rank") for n, found in enumerate(each)]
+        n = 2 * len(probes)
         if filters:
-            entity = predicates.entity_search(base, filters).withColumn("score", F.lit(1)).orderBy("_row_id").limit(s.probe_top_k)
-            lists.append(retrieval.ranks(entity, "_row_id", len(lists)))
-        for near in self.nearest(rewrite.probes(q, self.index, None)[: s.most_probes], base):
-            lists.append(retrieval.ranks(near, "_row_id", len(lists)))
+            entity = predicates.entity_search(self.table, filters).withColumn("score", F.lit(1)).orderBy("_row_id").limit(s.probe_top_k)
+            lists.append(retrieval.ranks(entity, "_row_id", n))
+        for i, near in enumerate(self.nearest(probes), 1):
+            lists.append(retrieval.ranks(near, "_row_id", n + i))
         # Probes that find few rows are joined by a wide search for the question itself.
-        weak = len(lists) > 0 and reduce(DataFrame.unionByName, [x.select("_row_id") for x in lists]).distinct().limit(s.least_rows).count() < s.least_rows
-        if weak:
-            lists.append(retrieval.ranks(retrieval.overlap(base, q, columns, "_row_id", s.fused_top_k), "_row_id", len(lists)))
+        if reduce(DataFrame.unionByName, [x.select("_row_id") for x in lists]).distinct().limit(s.least_rows).count() < s.least_rows:
+            lists.append(retrieval.ranks(retrieval.overlap(self.table, q, self.texts, "_row_id", s.fused_top_k), "_row_id", n + len(probes) + 1))
         fused = retrieval.rrf(lists, "_row_id", k=k or s.fused_top_k).select("_row_id", F.col("score").alias("_score"))
-        return base.join(F.broadcast(fused), "_row_id")
-
-    def nearest(self, asked: list[str], base: DataFrame) -> list[DataFrame]:
-        """The rows of ``base`` nearest to each probe; none without an embedder. The table's vectors are made once, as a written table."""
+        return self.table.join(F.broadcast(fused), "_row_id")
+
+    def rewritten(self, q: str, index: dict[str, schema.Column]) -> rewrite.Rewritten:
+        """The question rewritten in two stages: probes, then queries in the terms that the probes' rows use. Without a generator, its phrases.
+
+        Few rows or terms, or a filter that no row meets, make the result one of low trust.
+        """
+        s, begun = self.settings, rewrite.first(q, index, self.generator)
+        if not self.generator:
+            return begun
+        filters = {c: v for c, v in begun.filters.items() if c in self.table.columns}
+        rows = materialize(self.retrieve(q, filters={c: [v] for c, v in filters.items()}, probes=begun.queries), "probed")
+        found = {r["term"]: list(r["columns"]) for r in terms.discover(rows, self.match, least=s.least_frequency, top=s.most_terms).collect()}
+        quality = operations.retrieval_quality(rows, "_row_id", "_score", {v.lower(): c for c, v in filters.items()}).first().asDict()
+        drop(rows)
+        enough = len(found) >= s.least_terms
+        done = rewrite.second(q, index, begun, found, self.generator if enough else None)
+        missed = [v for v in filters.values() if not quality[f"hit_{v.lower()}"]]
+        if quality["unique_rows"] < s.least_rows or not enough or not any(found.values()) or missed:
+            return replace(done, confidence="low", warnings=[*done.warnings, "weak retrieval"])
+        return done
+
+    def nearest(self, asked: list[str], base: DataFrame | None = None) -> list[DataFrame]:
+        """The rows, or those of ``base``, nearest to each probe; none without an embedder. The table's vectors are made once, as a written table."""
         if not self.embed:
             return []
         if self.vectors is None:
-            body = chunks.row_text(self.table, [c for c, t in self.table.dtypes if t == "string"])
+            body = chunks.row_text(self.table, self.texts)
             self.vectors = materialize(self.table.select("_row_id", self.embed(body).alias("embedding")), "vectors")
-        known = self.vectors.join(base.select("_row_id"), "_row_id", "left_semi")
+        known = self.vectors if base is None else self.vectors.join(base.select("_row_id"), "_row_id", "left_semi")
         probes = self.table.sparkSession.createDataFrame(list(enumerate(asked)), "n int, probe string").select("n", self.embed(F.col("probe")).alias("v")).orderBy("n").collect()
         return [retrieval.vector_search(known, r["v"], "_row_id", k=self.settings.top_k, threshold=self.settings.threshold).select("_row_id", "score") for r in probes]
 
     def vocabulary(self, rows: DataFrame) -> list[str]:
         return [r["term"] for r in terms.discover(rows, self.match, least=self.settings.least_frequency, top=self.settings.most_terms).collect()]
 
-    def base(self, q: str, kind: str, filters: dict[str, list[str]], exhaustive: bool) -> tuple[DataFrame, bool]:
+    def base(self, q: str, kind: str, filters: dict[str, list[str]], exhaustive: bool, probes: list[str]) -> tuple[DataFrame, bool]:
         """The rows that an operation sees, never cut short for an analytical one, and whether they are all rows for want of a hit."""
         hits = predicates.filtered(self.table, filters, self.match)
         some = bool(filters) and not hits.isEmpty()
@@ -104,7 +141,7 @@ class Engine:
         single, used = predicates.best_single(self.table, filters, self.match, q)
         if used:
             return single, False
-        return self.retrieve(q, max(self.settings.most_evidence, 100) if exhaustive else self.settings.most_evidence, filters=filters), True
+        return self.retrieve(q, max(self.settings.most_evidence, 100) if exhaustive else self.settings.most_evidence, filters, probes), True
 
     def apply(self, kind: str, rows: DataFrame, q: str, direction: str = "desc", n: int = 1) -> DataFrame:
         metric, group = self.numeric_column(q), self.group_column(q)
@@ -137,19 +174,26 @@ class Engine:
         op, intent = operations.detect(q), operations.effective_intent(q, self.settings.strict)
         kind = str(intent["type"])
         index = self.known(q)
+        said = self.rewritten(q, index)
         found = matcher.match(q, index)
         filters = predicates.merged(found.filters, matcher.resolve(q, index).filters, self.table.columns)
+        if self.generator:
+            for other in said.queries[1:]:
+                filters = predicates.merged(filters, matcher.match(other, index).filters, self.table.columns)
+            filters = filters or predicates.merged({}, said.filters, self.table.columns)
         if matcher.tiers(q):
             filters = {c: kept for c, vs in filters.items() if (kept := [v for v in vs if matcher.is_tier_column(c) or not operations.kind_of(v) == "tier"])}
-        rows, fell_back = self.base(q, kind, filters, bool(op["exhaustive"]))
+        rows, fell_back = self.base(q, kind, filters, bool(op["exhaustive"]) or said.exhaustive, said.queries)
         out = self.apply(kind, rows, q, str(intent.get("direction", "desc")), n)
         head = out.limit(self.settings.most_evidence).collect()
         labels = {c: c.replace("_", " ").title() for c in out.columns}
         lines = [" | ".join(f"{labels[c]}: {v}" for c, v in r.asDict().items() if v is not None and c not in ("_row_id", "_score", *schema.SKIPPED)) for r in head]
         total = head[0]["count"] if kind == "count" else len(head)
-        said = f"There are {total}." if kind == "count" else "; ".join(lines[:5]) or "Nothing found."
-        said, risk = self.said(q, said, lines)
-        return Answer(q, kind, said, operations.support_level(total, bool(filters), bool(found.unmatched)), filters, lines, found.unmatched, fell_back, risk)
+        plain = f"There are {total}." if kind == "count" else "; ".join(lines[:5]) or "Nothing found."
+        spoken, risk = self.said(q, plain, lines)
+        support = operations.support_level(total, bool(filters), bool(found.unmatched))
+        method = " + ".join(name for name, used in (("two stages", self.generator), ("filters", filters), ("BM25 and overlap", fell_back and "_score" in rows.columns), ("vectors", self.embed)) if used)
+        return Answer(q, kind, spoken, support, filters, lines, found.unmatched, fell_back, risk, method or "whole table", said.confidence, said.queries, said.warnings)
 
     def said(self, q: str, plain: str, lines: list[str]) -> tuple[str, str]:
         """The generator's answer from the evidence, cleaned, or ``plain`` without one; and its risk, by what of it the evidence lacks."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 from ..operators.schema import Column
@@ -17,6 +17,14 @@ from . import matcher, operations
 #: The keys that each stage's answer must have.
 PROBE_KEYS = ("intent", "target_columns", "probe_queries", "explicit_filters", "is_broad")
 QUERY_KEYS = ("final_rewritten_queries", "confidence", "mapped_user_phrases")
+#: What a question may be about.
+INTENTS = ("list", "count", "compare", "group", "supplier_discovery", "location", "relationship", "yes_no", "other")
+#: Words that any query may hold.
+ANY_QUERY = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "company", "companies", "complete", "count", "county", "counties", "each", "every", "for", "from", "give", "has", "have", "highest", "how",
+    "in", "include", "including", "is", "list", "location", "locations", "map", "most", "of", "only", "or", "provide", "related", "role", "roles", "show", "single", "supplier", "suppliers",
+    "their", "the", "them", "to", "total", "under", "what", "which", "with", "within", "filter", "match", "matches", "query", "search",
+)
 MOST_PROBES, MOST_QUERIES, MOST_UNKNOWN, MOST_TERMS, ATTEMPTS = 10, 6, 2, 30, 2
 #: What names the whole table's place, and where that is noted.
 EVERYWHERE = ("georgia", "ga", "state of georgia")
@@ -119,19 +127,80 @@ def schema_lines(index: dict[str, Column]) -> str:
     return "\n".join(f"- {c.name}: {c.match}" + (", filterable" if c.filterable else "") for c in index.values())
 
 
-def probes(q: str, index: dict[str, Column], generator: Generator | None = None) -> list[str]:
+@dataclass(frozen=True)
+class Rewritten:
+    """What a question is searched by, and what a generator takes it to mean; what no generator confirms is trusted least."""
+
+    queries: list[str]
+    intent: str = "other"
+    targets: list[str] = field(default_factory=list)
+    filters: dict[str, str] = field(default_factory=dict)
+    mapped: list[Mapped] = field(default_factory=list)
+    exhaustive: bool = False
+    confidence: str = "low"
+    warnings: list[str] = field(default_factory=list)
+
+
+def intent_of(said: object, q: str) -> str:
+    """A generator's intent where it is a known one, else one by the question's words."""
+    if known := [x for x in as_list(said) if x in INTENTS]:
+        return known[0]
+    kind = operations.detect(q)["operation"]
+    return "count" if kind == "count" else "group" if kind == "aggregate_sum" else "supplier_discovery" if operations.found(q, (r"suppliers?", "company", "companies")) else "other"
+
+
+def first(q: str, index: dict[str, Column], generator: Generator | None = None) -> Rewritten:
+    """The first stage sees names of columns alone: probes, the question itself the first of them."""
     said = asked(generator, f"Question: {q}\nColumns:\n{schema_lines(index)}\nAnswer as JSON with keys {', '.join(PROBE_KEYS)}.", PROBE_KEYS)
-    more = [str(p) for p in said["probe_queries"]] if said and isinstance(said["probe_queries"], list) else matcher.ngrams(q)[:3]
-    return list(dict.fromkeys([q, *more]))[:MOST_PROBES]
+    if said is None:
+        warned = ["no probes from the generator"] if generator else []
+        return Rewritten(list(dict.fromkeys([q, *matcher.ngrams(q)[:3]])), intent_of(None, q), warnings=warned)
+    intent = intent_of(said["intent"], q)
+    broad = as_bool(said["is_broad"], True) or bool(operations.detect(q)["exhaustive"]) or intent in ("count", "group", "supplier_discovery", "list")
+    queries = list(dict.fromkeys([q, *as_list(said["probe_queries"])]))[:MOST_PROBES]
+    return Rewritten(queries, intent, target_columns(said["target_columns"], index), explicit_filters(said["explicit_filters"], index), exhaustive=broad)
+
+
+def probes(q: str, index: dict[str, Column], generator: Generator | None = None) -> list[str]:
+    return first(q, index, generator).queries
 
 
 def supported(query: str, q: str, terms: list[str]) -> bool:
-    """A query may hold one word at most that neither the question nor the found terms have."""
-    known = matcher.token_set(" ".join([q, *terms]))
-    return len([t for t in matcher.token_set(query) - known if len(t) >= 3]) < MOST_UNKNOWN
+    """A query may hold one word at most, in one number or the other, that neither the question nor the found terms have, words of any query aside."""
+    known = matcher.token_set(" ".join([q, *terms, *ANY_QUERY]))
+    return len({t for t in re.findall(r"[a-z0-9]+(?:/[a-z0-9]+)?", query.lower()) if len(t) >= 3 and not matcher.token_set(t) & known}) < MOST_UNKNOWN
+
+
+def second(q: str, index: dict[str, Column], begun: Rewritten, discovered: dict[str, list[str]], generator: Generator | None = None) -> Rewritten:
+    """The second stage sees the terms that the probes' rows use, and may say no others. ``discovered`` has each term's columns.
+
+    Without an answer, the question and the first probes stay. A refused query, or no term at all, lowers the trust.
+    """
+    terms = list(discovered)
+    held = ", ".join(f"{c} = {v}" for c, v in begun.filters.items()) or "none"
+    prompt = f"Question: {q}\nColumns:\n{schema_lines(index)}\nProbes: {'; '.join(begun.queries)}\nFilters: {held}\nTerms: {', '.join(terms)}\nAnswer as JSON with keys {', '.join(QUERY_KEYS)}."
+    said = asked(generator, prompt, QUERY_KEYS)
+    operation = operations.detect(q)
+    if said is None:
+        return replace(begun, queries=begun.queries[:5], exhaustive=bool(operation["exhaustive"]) or begun.intent in ("count", "group"), warnings=[*begun.warnings, "question and probes only", f"{len(terms)} terms found"])
+    known = [*terms, *begun.filters.values(), *(c.replace("_", " ") for c in index)]
+    given = as_list(said["final_rewritten_queries"])
+    kept = [x for x in given if supported(x, q, known)]
+    refused = [f"query: {x}" for x in given if x not in kept]
+    mapped, lost = mapped_phrases(said["mapped_user_phrases"], discovered)
+    intent = intent_of(said.get("intent", begun.intent), q)
+    trust = str(said["confidence"]).strip().lower()
+    return Rewritten(
+        list(dict.fromkeys([q, *kept]))[:MOST_QUERIES],
+        intent,
+        target_columns(said.get("target_columns"), index) or begun.targets,
+        begun.filters,
+        mapped,
+        as_bool(said.get("requires_exhaustive_retrieval")) or bool(operation["exhaustive"]) or intent in ("count", "group"),
+        trust if trust in ("medium", "high") and not refused and terms else "low",
+        [*begun.warnings, *as_list(said.get("warnings"), MOST_TERMS), *refused, *lost],
+    )
 
 
 def queries(q: str, index: dict[str, Column], terms: list[str], generator: Generator | None = None) -> list[str]:
-    said = asked(generator, f"Question: {q}\nTerms: {', '.join(terms)}\nAnswer as JSON with keys {', '.join(QUERY_KEYS)}.", QUERY_KEYS)
-    more = [str(x) for x in said["final_rewritten_queries"]] if said and isinstance(said["final_rewritten_queries"], list) else probes(q, index)[1:5]
-    return list(dict.fromkeys([q, *(x for x in more if supported(x, q, terms))]))[:MOST_QUERIES]
+    return second(q, index, Rewritten(probes(q, index)), {t: [] for t in terms}, generator).queries

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import batched
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +13,16 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.engine import Answer, Engine
 
 
+#: Questions that the driver holds at once.
+SLICE = 500
+
+
 def answer_stream(questions: DataFrame, engine: Engine, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of ``questions(question)`` is answered and written under its own number, so a repeated batch overwrites itself."""
+    """Each micro-batch of ``questions(question)`` is answered slice by slice; a repeated batch overwrites its own slices."""
     def batch(df: DataFrame, n: int) -> None:
-        asked = [r["question"] for r in df.select("question").collect()]
-        engine.answers(asked).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        asked = (r["question"] for r in df.select("question").toLocalIterator())
+        for i, part in enumerate(batched(asked, SLICE)):
+            engine.answers(list(part)).write.mode("overwrite").parquet(f"{path}/batch={n}/slice={i}")
 
     return questions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
