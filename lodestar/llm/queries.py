@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, passages, pii, quality, sharding, simhash, tokenfiles, topk, toxicity, urlfilter
+from . import conversations, decontamination, mixing, passages, pii, quality, sharding, simhash, tokenfiles, topk, toxicity, urlfilter
 from .labelled import remainder
 
 
@@ -70,6 +70,11 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.digests(tokenfiles.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damaged(turns), turns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -99,6 +104,26 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM o"""
 
 
+#: The checksum by its table, the damage, the flags, and the four cheapest ways turn by turn.
+REPAIR_SQL = r"""WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t FROM range(256) r(i)),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS initial FROM d),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+NOT blank AND NOT duplicate AND regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS truncated, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM o),
+e AS (SELECT * FROM (VALUES ('n', 'n', '', []), ('n', 'u', 'I', ['user:']), ('n', 'a', 'II', ['user:', 'assistant:']), ('s', 's', '', []), ('s', 'u', 'I', ['user:']), ('s', 'a', 'II', ['user:', 'assistant:']), ('u', 'u', '', []), ('u', 'a', 'I', ['assistant:']), ('a', 'a', '', []), ('a', 'u', 'I', ['user:'])) AS e(st, mid, inserted, said)),
+g AS (SELECT * FROM (VALUES ('n', 'n', 'D'), ('s', 's', 'D'), ('u', 'u', 'D'), ('a', 'a', 'D'), ('n', 's', 'K'), ('n', 'u', 'K'), ('s', 'u', 'K'), ('a', 'u', 'K'), ('u', 'a', 'K'), ('n', 'u', 'R'), ('s', 'u', 'R'), ('a', 'u', 'R'), ('u', 'a', 'R')) AS g(mid, st, edit)),
+w AS (SELECT conv_id, n, 0 AS i, 'n' AS st, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS way FROM f GROUP BY conv_id, n
+UNION ALL SELECT w.conv_id, w.n, w.i + 1, g.st, min({'cost': way.cost + 5 * len(inserted) + CASE edit WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN truncated AND edit <> 'D' THEN 5 ELSE 0 END, 'audit': way.audit || inserted || edit,
+'lines': list_concat(way.lines, said::VARCHAR[], CASE edit WHEN 'K' THEN [role || ':' || text] WHEN 'R' THEN [CASE g.st WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] ELSE [] END)})
+FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1 JOIN e ON e.st = w.st JOIN g ON g.mid = e.mid WHERE (edit = 'D' OR NOT (blank OR duplicate)) AND (edit <> 'K' OR initial = g.st) GROUP BY w.conv_id, w.n, w.i, g.st),
+z AS (SELECT conv_id, min({'cost': way.cost + 5 * len(inserted), 'audit': way.audit || inserted, 'lines': list_concat(way.lines, said::VARCHAR[])}) AS way FROM w JOIN e USING (st) WHERE w.i = w.n AND e.mid IN ('n', 'a') GROUP BY conv_id),
+s AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id),
+k AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0) AS cost, coalesce(way.audit, '') AS audit, sha256(coalesce(array_to_string(way.lines, chr(10)), '')) AS repaired_sha256
+FROM k LEFT JOIN s ON k.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN z ON k.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL can't express XXH64 fingerprints, trained models, lookbehind or the walk round the ring; tests hold those against brute force."""
-    return {"op2_exact_top_k": TOP_K_SQL, "op5_url_filters": URL_SQL, "op6_mixing": MIXING_SQL}
+    return {"op2_exact_top_k": TOP_K_SQL, "op5_url_filters": URL_SQL, "op6_mixing": MIXING_SQL, "op13_conversation_repair": REPAIR_SQL}
