@@ -30,6 +30,8 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -42,8 +44,8 @@ from ..sources.written import folder
 from .common import materialize
 
 END = 2
-#: Bytes of tokens after which a frame is closed; words a worker keeps; texts read at once.
-FRAME, MOST_WORDS = 1 << 20, 300_000
+#: Bytes of tokens after which a frame is closed; words a worker keeps at the beginning of a text.
+FRAME, MOST_WORDS = 1 << 20, 1_000_000
 #: A frame that zstandard readers skip, and this table's own mark.
 SKIPPED, MAGIC = 0x184D2A5E, 0x4C4F4453
 LINE, TAIL = struct.Struct("<QQIIQqqI"), struct.Struct("<IBI")
@@ -77,8 +79,6 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
         plain = [w for w in words if SPACED.match(w)]
         self.words.update((w, self._raw(w)) for w in words if not SPACED.match(w))
         if plain:  # each begins with a space, so that side by side they are cut as they stand
@@ -87,18 +87,16 @@ class Encoder:
             self.words.update((w, ids[a:b]) for w, a, b in zip(plain, edges, edges[1:]))
 
     def __call__(self, text: str) -> bytes:
+        if len(self.words) > MOST_WORDS:
+            self.words.clear()
         if not self.by_word or BEYOND.search(text):
             return self._raw(text)
         words = WORD.findall(text)
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in self.words]
-            if len(self.words) + len(new) > MOST_WORDS:
-                new = list(dict.fromkeys(words))
-                self.words.clear()
-            self._learn(new)
-            return b"".join(map(self.words.__getitem__, words))
+        found = list(map(self.words.get, words))
+        if None in found:
+            self._learn(list(dict.fromkeys(compress(words, map(not_, found)))))
+            found = list(map(self.words.get, words))
+        return b"".join(found)
 
 
 @cache
@@ -236,6 +234,12 @@ def starts(manifest: DataFrame) -> DataFrame:
     return sizes.select("file", F.coalesce(before, F.lit(0)).alias("start"))
 
 
+def _files(manifest: DataFrame) -> DataFrame:
+    """A task for each file."""
+    files = materialize(starts(manifest), "token-starts")
+    return files.repartition(max(1, files.count()), "file")
+
+
 def _frames(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[int | None, np.ndarray]]]]:
     """``start, documents`` of each frame of the files in ``parts``."""
     for part in parts:
@@ -264,7 +268,7 @@ def digests(manifest: DataFrame) -> DataFrame:
                 start += len(t)
             yield _table(rows, columns)
 
-    return starts(manifest).repartition("file").mapInPandas(of, columns)
+    return _files(manifest).mapInPandas(of, columns)
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -279,7 +283,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 start += len(t)
             yield _table(rows, columns)
 
-    return starts(manifest).repartition("file").mapInPandas(of, columns)
+    return _files(manifest).mapInPandas(of, columns)
 
 
 def lookup(manifest: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
