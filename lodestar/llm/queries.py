@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontamination, mixing, passages, pii, quality, sharding, simhash, tokenfiles, topk, toxicity, urlfilter
+from . import conversations, decontamination, divergence, mixing, passages, pii, quality, sharding, simhash, tokenfiles, topk, toxicity, urlfilter
 from .labelled import remainder
 
 
@@ -70,6 +70,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.digests(tokenfiles.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
     return conversations.report(conversations.damaged(turns), turns)
@@ -104,6 +108,17 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM o"""
 
 
+DIVERGENCE_SQL = r"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30), v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d), c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL), s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.total, 0)::HUGEINT + 5 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (v.total::HUGEINT + 5 * v.v) AS q
+FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN s USING (lang, source)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r QUALIFY part = 'pair' OR rank <= 50"""
+
 #: The checksum by its table, the damage, the flags, and the four cheapest ways turn by turn.
 REPAIR_SQL = r"""WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t FROM range(256) r(i)),
 c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, crc),
@@ -126,4 +141,4 @@ FROM k LEFT JOIN s ON k.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN z ON k.
 
 def oracle_sql() -> dict[str, str]:
     """SQL can't express XXH64 fingerprints, trained models, lookbehind or the walk round the ring; tests hold those against brute force."""
-    return {"op2_exact_top_k": TOP_K_SQL, "op5_url_filters": URL_SQL, "op6_mixing": MIXING_SQL, "op13_conversation_repair": REPAIR_SQL}
+    return {"op2_exact_top_k": TOP_K_SQL, "op5_url_filters": URL_SQL, "op6_mixing": MIXING_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_conversation_repair": REPAIR_SQL}
