@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import cleaning, text
 from .operators import aggregates, chunks, predicates, retrieval, schema, terms
 from .plans import operations
-from .sources import upsert
+from .sources import upsert, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +32,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table that a query writes on its way."""
+    return f"{written.folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -281,7 +287,21 @@ def integrity_counts(spark, d):
 @query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 4 = 0 THEN 1.0 ELSE CAST(s_acctbal AS DOUBLE) END AS s_acctbal FROM supplier WHERE s_suppkey % 3 > 0 OR s_suppkey % 4 = 0")
 def upsert_parents(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"))
-    return upsert.merged(s.where("s_suppkey % 3 > 0"), s.where("s_suppkey % 4 = 0").withColumn("s_acctbal", F.lit(1.0)), ["s_suppkey"])
+    path = scratch(spark, "suppliers")
+    upsert.upsert(s.where("s_suppkey % 3 > 0"), path, ["s_suppkey"])
+    upsert.upsert(s.where("s_suppkey % 4 = 0").withColumn("s_acctbal", F.lit(1.0)), path, ["s_suppkey"])
+    return upsert.read(spark, path)
+
+
+@query("""WITH b AS (SELECT page_id, url, 0 AS batch FROM pages WHERE page_id % 3 > 0 UNION ALL SELECT page_id, 'seen again: ' || url, 1 FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'seen twice: ' || url, 2 FROM pages WHERE page_id % 8 = 0),
+r AS (SELECT page_id, max(batch) AS batch FROM b GROUP BY page_id) SELECT page_id, url, batch FROM r JOIN b USING (page_id, batch)""")
+def upsert_pages(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url", F.lit(0).alias("batch"))
+    path = scratch(spark, "pages")
+    upsert.upsert(p.where("page_id % 3 > 0"), path, ["page_id"])
+    again = [p.where(f"page_id % {by} = 0").select("page_id", F.concat(F.lit(said), "url").alias("url"), F.lit(n).alias("batch")) for n, by, said in ((1, 4, "seen again: "), (2, 8, "seen twice: "))]
+    upsert.upsert(again[0].unionByName(again[1]), path, ["page_id"], order="batch")
+    return upsert.read(spark, path)
 
 
 @query("SELECT p_partkey, 'p_name: ' || p_name || ' | p_type: ' || p_type || ' | p_size: ' || CAST(p_size AS VARCHAR) AS body FROM part")
