@@ -1,14 +1,19 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: names (capitalised words, wherever they stand), numbers, and units after numbers give way to typed placeholders; the
-rest is lower-cased and loses its punctuation. Windows of five template words are hashed; a hash join of documents with benchmark items
-finds shared windows. Windows with fewer than three literal words say little as templates, so they keep their values in the hash. An item
-is judged by its windows of three literal words or more if those are most of it, else by all.
+Texts become templates: names (capitalised words, wherever they stand; several with single spaces between are one), numbers (in digits, or one of ``NUMBERS``
+in words), and units after numbers give way to typed placeholders; the rest is lower-cased (ß is ss, as in capitals) and loses its punctuation. Windows of five
+template words are hashed; a hash join of documents with benchmark items finds shared windows. Windows with fewer than three literal words say
+little as templates, so they keep their values in the hash. An item is judged by its windows of three literal words or more if those are most
+of it, else by all.
+
+Items stand in two forms: as they are, and in lower case, where capitalised words are words like any other. Documents in lower case or in capitals have
+no names either, so they meet the second form. What counts is the form of which more is found.
 
 A placeholder keeps the value it stands for, so that slots can be checked where an item stands: met windows whose places in the document
 and in the item differ by about the same are one occurrence, and within it every value of the item stands for one value of the
 document (the one with most windows on the same diagonal, then the smallest); windows whose slots say otherwise don't count. A document
-is contaminated by an item if one occurrence holds at least 0.8 of the item's windows.
+is contaminated by an item if one occurrence holds at least 0.8 of the item's windows; it is verbatim where each place of the item that was met at all
+was met with its own values.
 
 Texts of fewer than five words are one window, the whole text: an item so short is found as a whole document only. The items' windows are
 broadcast while they are at most ``MOST_BROADCAST`` and ``MOST_BYTES``; beyond that the join shuffles the hashes.
@@ -33,6 +38,14 @@ UNITS = (
     "usd", "eur", "gbp", "dollars", "euros", "pounds", "cents", "percent", "degrees",
 )
 SLOT = "⟦([anu])[^⟧]*+⟧"
+#: Joins the words of a name; a letter, so that it stays where punctuation goes.
+JOINT = "\u01c0"
+#: Numbers in words, with their digits.
+NUMBERS = {
+    "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17,
+    "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1000,
+}
+IN_WORDS = r"(?<![\p{L}\p{N}⟦" + JOINT + "])(" + "|".join(NUMBERS) + r")(?![\p{L}\p{N}" + JOINT + "⟧])"
 
 
 def _bare(t: Column) -> Column:
@@ -46,6 +59,14 @@ def _numbered(t: Column) -> Column:
     return F.regexp_replace(t, r"(?<=⟧ {1,3})(" + "|".join(UNITS) + r")(?= |$)", "⟦u$1⟧")
 
 
+def _in_digits(t: Column) -> Column:
+    """Numbers in words as digits; a text without them is told beforehand."""
+    marked = F.regexp_replace(t, IN_WORDS, "⟦$1⟧")
+    for word, number in NUMBERS.items():
+        marked = F.replace(marked, F.lit(f"⟦{word}⟧"), F.lit(str(number)))
+    return marked
+
+
 def templates(texts: DataFrame, key: str) -> DataFrame:
     """``key, template``: words between single spaces; a placeholder is ``⟦`` a, n or u, the value ``⟧``.
 
@@ -54,6 +75,8 @@ def templates(texts: DataFrame, key: str) -> DataFrame:
     t = F.col("template")
     out = texts.select(key, F.when(F.regexp_like("text", F.lit("[⟦⟧]")), F.translate("text", "⟦⟧", "  ")).otherwise(F.col("text")).alias("template"))
     out = out.select(key, F.lower(F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}++)(?![\p{L}\p{N}])", "⟦a$1⟧")).alias("template"))
+    out = out.select(key, F.replace(F.replace("template", F.lit("⟧ ⟦a"), F.lit(JOINT)), F.lit("ß"), F.lit("ss")).alias("template"))
+    out = out.select(key, F.when(F.regexp_like("template", F.lit(IN_WORDS)), _in_digits(t)).otherwise(t).alias("template"))
     digits = F.regexp_like("template", F.lit("[0-9]"))
     return out.select(key, F.trim(F.when(digits, F.regexp_replace(_numbered(t), "  +", " ")).otherwise(_bare(t))).alias("template"))
 
@@ -79,18 +102,23 @@ def _slots(window: Column) -> Column:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """``item_id, hash, own, at, windows``: the windows an item is judged by, each with its first place, and their number."""
-    own = windows(items.select("item_id", "text"), "item_id").where("window is not null")
-    own = own.groupBy("item_id", "hash", "weak", F.col("window").alias("own")).agg(F.min("pos").alias("at"))
-    whole = Window.partitionBy("item_id")
+    """``item, hash, own, at, windows``: the windows a form of an item is judged by, each with its first place, and their number.
+
+    ``item`` is a struct of ``item_id`` and ``lower``, whether this is the form in lower case.
+    """
+    lower = items.where(F.col("text") != F.lower("text")).select(F.struct("item_id", F.lit(True).alias("lower")).alias("item"), F.lower("text").alias("text"))
+    forms = items.select(F.struct("item_id", F.lit(False).alias("lower")).alias("item"), "text").unionByName(lower)
+    own = windows(forms, "item").where("window is not null")
+    own = own.groupBy("item", "hash", "weak", F.col("window").alias("own")).agg(F.min("pos").alias("at"))
+    whole = Window.partitionBy("item")
     own = own.withColumn("strong", F.count_if(~F.col("weak")).over(whole)).withColumn("all", F.count(F.lit(1)).over(whole))
     mostly = F.col("strong") * 2 > F.col("all")
-    return own.where(~(mostly & F.col("weak"))).select("item_id", "hash", "own", "at", F.when(mostly, F.col("strong")).otherwise(F.col("all")).alias("windows"))
+    return own.where(~(mostly & F.col("weak"))).select("item", "hash", "own", "at", F.when(mostly, F.col("strong")).otherwise(F.col("all")).alias("windows"))
 
 
 def _occurrences(met: DataFrame) -> DataFrame:
     """``met`` with ``run``, the number of the occurrence, and ``weight``, the met windows on the same diagonal."""
-    pair = ["doc_id", "item_id"]
+    pair = ["doc_id", "item"]
     along = Window.partitionBy(*pair).orderBy("diagonal")
     reach = F.least(F.greatest(F.lit(SIZE), F.floor(F.col("windows") / 4)), F.col("windows") + 3)
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > reach).cast("int"), F.lit(0))
@@ -105,19 +133,20 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     if size["n"] <= MOST_BROADCAST and size["bytes"] <= MOST_BYTES:
         own = F.broadcast(own)
     met = windows(docs.select("doc_id", "text"), "doc_id").join(own, "hash")
-    met = met.select("doc_id", "item_id", "at", "pos", "windows", _slots(F.col("own")).alias("a"), _slots(F.col("window")).alias("b")).distinct()
-    pair = ["doc_id", "item_id", "run"]
+    met = met.select("doc_id", "item", "at", "pos", "windows", _slots(F.col("own")).alias("a"), _slots(F.col("window")).alias("b")).distinct()
+    pair = ["doc_id", "item", "run"]
     slots = _occurrences(met).withColumn("slot", F.explode_outer(F.arrays_zip("a", "b")))
     slots = slots.select(*pair, "at", "pos", "windows", "weight", F.col("slot.a").alias("from"), F.col("slot.b").alias("to"))
     slots = slots.withColumn("votes", F.sum("weight").over(Window.partitionBy(*pair, "from", "to")))
     slots = slots.withColumn("stands", F.first("to").over(Window.partitionBy(*pair, "from").orderBy(F.col("votes").desc(), "to")))
     holds, changed = F.coalesce(F.col("to") == F.col("stands"), F.lit(True)), F.coalesce(F.col("from") != F.col("to"), F.lit(False))
-    each = slots.groupBy(*pair, "windows", "at", "pos").agg(F.bool_and(holds).alias("holds"), F.bool_or(changed).alias("changed")).where("holds")
-    each = each.groupBy(*pair, "windows", "at").agg(F.bool_and("changed").alias("changed"))
-    runs = each.groupBy(*pair, "windows").agg(F.count(F.lit(1)).alias("found"), (~F.bool_or("changed")).alias("same")).where(F.col("found") >= SHARE * F.col("windows"))
-    best = runs.groupBy(*pair[:2], "windows").agg(F.max(F.struct("found", "same")).alias("best"))
+    each = slots.groupBy(*pair, "windows", "at", "pos").agg(F.bool_and(holds).alias("holds"), F.bool_or(changed).alias("changed"))
+    each = each.groupBy(*pair, "windows", "at").agg(F.bool_or("holds").alias("holds"), F.bool_and("changed").alias("changed"))
+    runs = each.groupBy(*pair, "windows").agg(F.count_if("holds").alias("found"), (~F.bool_or("changed")).alias("same")).where(F.col("found") >= SHARE * F.col("windows"))
+    coverage = F.col("found") / F.col("windows")
+    best = runs.groupBy("doc_id", F.col("item.item_id").alias("item_id")).agg(F.max(F.struct(coverage.alias("coverage"), "same", "found", "windows")).alias("best"))
     kind = F.when(F.col("best.same"), "verbatim").otherwise("re-parameterised")
-    return best.select(*pair[:2], "best.found", "windows", (F.col("best.found") / F.col("windows")).alias("coverage"), kind.alias("kind"))
+    return best.select("doc_id", "item_id", "best.found", "best.windows", "best.coverage", kind.alias("kind"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
