@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import written
+from . import columns
 
 UNKNOWN = "Unknown"
 #: Texts that stand for a missing one.
@@ -86,12 +87,12 @@ def normalise(raw: DataFrame, required: str = "company", order: str | None = Non
 
 
 def dense_ids(df: DataFrame, order: str, name: str = ROW_ID) -> DataFrame:
-    """``name``: the row's place by ``order``, from 0, without gaps; rows that tie are in any order.
+    """``name``: the row's place by ``order``, from 0, without gaps; rows that tie are in any order. An existing column of that name is replaced.
 
     The table is cut into ranges and written with the range of each row, and all that follows reads what was written: ranges, and ids made by
     the source's plan, differ from one run of a plan to the next. A random part of the order splits rows that tie, so no value fills a range.
     """
-    placed = df.select(F.struct(*df.columns).alias("row"), F.col(order).alias("place"), F.rand(7).alias("tie"))
+    placed = df.select(columns.row(df, name).alias("row"), columns.column(order).alias("place"), F.rand(7).alias("tie"))
     ranged = written.materialize(placed.repartitionByRange("place", "tie").withColumn("part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

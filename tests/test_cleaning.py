@@ -91,3 +91,10 @@ def test_schema_index(spark):
 def test_risk(spark, answer, evidence, level):
     df = spark.createDataFrame([(answer, evidence)], "a string, e string")
     assert df.select(text.risk(F.col("a"), F.col("e")).alias("r")).first().r == level
+
+
+def test_dense_ids_of_tables_with_any_names(spark):
+    df = spark.createDataFrame([(3, "c", 1, 9), (1, "a", 2, 9), (2, "b", 3, 9)], "`the.order` long, `x.y` string, `row` long, `_Row_Id` long")
+    got = cleaning.dense_ids(df, "the.order")
+    assert got.columns == ["the.order", "x.y", "row", "_row_id"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 2, 0), (2, "b", 3, 1), (3, "c", 1, 2)]
