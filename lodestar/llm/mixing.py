@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from .common import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -86,8 +87,8 @@ def mixed(measured: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.withColumn("part", part).drop("mix_source", "cut_order", "cut_size", "cut_part", "mix_order", "mix_bucket")
 
 
-def _measured(docs: DataFrame, *columns: str) -> DataFrame:
-    return materialize(sized(docs.select("doc_id", "source", "text")).select(*columns, "source", "size", "mix_order", "mix_bucket"), "mix-sizes")
+def _measured(docs: DataFrame, *more: str) -> DataFrame:
+    return materialize(sized(docs.select("doc_id", "source", "text")).select(*more, "source", "size", "mix_order", "mix_bucket"), "mix-sizes")
 
 
 def taken(docs: DataFrame) -> DataFrame:
@@ -99,14 +100,15 @@ def taken(docs: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, the one at a source's cut with its first words only."""
-    rows = sized(docs.select(F.struct(*docs.columns).alias("mix_row"), "doc_id", "source", "text"))
+    rows = sized(docs.select(columns.row(docs).alias("mix_row"), "doc_id", "source", "text"))
     out = mixed(rows, plan(_measured(docs)))
     whole = F.col("passes") + F.when((F.col("part") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)
     cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>"))
-    out = out.withColumn("whole", F.explode(F.concat(F.array_repeat(F.lit(True), whole.cast("int")), cut)))
+    out = out.select("mix_row", "text", "part", F.explode(F.concat(F.array_repeat(F.lit(True), whole.cast("int")), cut)).alias("whole"))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
-    out = out.select("mix_row.*", "whole", F.when(~F.col("whole"), first).alias("mix_first"))
-    out = out.withColumn("text", F.coalesce("mix_first", "text"))
+    out = out.select("mix_row", F.when(~F.col("whole"), first).alias("first"))
+    own = lambda c: F.col("mix_row").getField(c)
+    changed = {"text": F.coalesce("first", own("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("mix_first").isNotNull(), F.length("mix_first")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("first").isNotNull(), F.length("first")).otherwise(own("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(changed.get(c, own(c)).alias(c) for c in docs.columns))

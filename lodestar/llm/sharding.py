@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from .common import materialize
 
 BITS = 14
@@ -69,7 +70,7 @@ def runs(counts: dict[int, int], shards: int) -> list[tuple[int, int, int, int,
 def _content(docs: DataFrame) -> Column:
     """A hash of the whole row; what can't be hashed is hashed as JSON."""
     plain = lambda f: not any(t in f.dataType.simpleString() for t in ("map<", "variant"))
-    return F.xxhash64(*[F.col(f"`{f.name}`") if plain(f) else F.to_json(F.struct(f"`{f.name}`")) for f in docs.schema])
+    return F.xxhash64(*[columns.column(f.name) if plain(f) else F.to_json(F.struct(columns.column(f.name))) for f in docs.schema])
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def sharded(docs: DataFrame, shards: int = 16, key: str = "doc_id") -> DataFrame
     """``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 within the shard)."""
     docs = docs.drop("shard", "slot")
     cell = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), 64 - BITS).cast("int")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), cell.alias("cell"), _content(docs).alias("content"), F.monotonically_increasing_id().alias("row"))
+    whole = docs.select(columns.row(docs).alias("doc"), cell.alias("cell"), _content(docs).alias("content"), F.monotonically_increasing_id().alias("row"))
     whole = materialize(whole, "shard-docs")
     counts = {r["cell"]: r["count"] for r in whole.groupBy("cell").count().collect()}
     cuts = F.broadcast(docs.sparkSession.createDataFrame(runs(counts, shards), "cell int, run_from long, run_to long, shard int, run_slot long"))

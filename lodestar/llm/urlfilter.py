@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns
+
 #: A map's lookup is a scan of its keys, so it holds some hundreds of rules at most.
 MOST_MAPPED = 200
 #: Literal tokens of all rules that may be broadcast.
@@ -114,8 +116,7 @@ def rule_table(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFra
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = SITES + SPAM, url: str = "url", default: str = "allow", most_mapped: int = MOST_MAPPED) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``by``: site (rank 1), pattern (rank 0) or default."""
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "by")]
-    pages = pages.select(F.struct(*kept).alias("page"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    pages = pages.select(columns.row(pages, "host", "path", "rule", "verdict", "by").alias("page"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     table = rule_table(pages, rules)
     if table.limit(most_mapped + 1).count() <= most_mapped:
         best = _by_map(pages, table)
