@@ -24,6 +24,8 @@ an empty table on either side gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,9 +78,13 @@ def templates(texts: DataFrame, key: str) -> DataFrame:
     out = texts.select(key, F.when(F.regexp_like("text", F.lit("[⟦⟧]")), F.translate("text", "⟦⟧", "  ")).otherwise(F.col("text")).alias("template"))
     out = out.select(key, F.lower(F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}++)(?![\p{L}\p{N}])", "⟦a$1⟧")).alias("template"))
     out = out.select(key, F.replace(F.replace("template", F.lit("⟧ ⟦a"), F.lit(JOINT)), F.lit("ß"), F.lit("ss")).alias("template"))
-    out = out.select(key, F.when(F.regexp_like("template", F.lit(IN_WORDS)), _in_digits(t)).otherwise(t).alias("template"))
     digits = F.regexp_like("template", F.lit("[0-9]"))
-    return out.select(key, F.trim(F.when(digits, F.regexp_replace(_numbered(t), "  +", " ")).otherwise(_bare(t))).alias("template"))
+    numbered = lambda c: F.trim(F.regexp_replace(_numbered(c), "  +", " "))
+    out = out.select(key, "template", F.when(digits, numbered(t)).otherwise(F.trim(_bare(t))).alias("clean"))
+    # Plain searches between spaces tell which texts the expressions for numbers in words are worth.
+    spelled = reduce(Column.__or__, (F.contains("spaced", F.lit(f" {word} ")) for word in NUMBERS))
+    out = out.select(key, "template", "clean", F.concat(F.lit(" "), "clean", F.lit(" ")).alias("spaced"))
+    return out.select(key, F.when(spelled, numbered(_in_digits(t))).otherwise(F.col("clean")).alias("template"))
 
 
 def windows(texts: DataFrame, key: str) -> DataFrame:
