@@ -11,7 +11,8 @@ class Settings:
     top_k: int = 15
     probe_top_k: int = 50
     fused_top_k: int = 150
-    most_probes: int = 3
+    #: Probes and rewritten queries that are searched; 0 is all.
+    most_probes: int = 0
     least_rows: int = 5
     least_frequency: int = 2
     most_terms: int = 30

@@ -93,9 +93,10 @@ def token_f1(a: Column, b: Column) -> Column:
 
 #: Answer words that never need support.
 ANSWER_STOP_WORDS = (
-    "about above according answer based because below company companies complete contains county data does each evidence following from georgia "
-    "include includes item items listed provided record records result results shows supplier suppliers table there these this total using with would"
-).split()
+    "about", "above", "according", "answer", "based", "because", "below", "company", "companies", "complete", "contains", "county", "data", "does", "each", "evidence",
+    "following", "from", "georgia", "include", "includes", "item", "items", "listed", "provided", "record", "records", "result", "results", "shows", "supplier",
+    "suppliers", "table", "there", "these", "this", "total", "using", "with", "would",
+)
 
 
 def risk(answer: Column, evidence: Column) -> Column:

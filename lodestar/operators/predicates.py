@@ -14,7 +14,10 @@ from . import schema as sc
 
 Filters = dict[str, list[str]]
 #: Business words too general to match alone, and phrases that ask for a relationship.
-GENERAL_NAMES = "corp inc llc ltd co group automotive manufacturing industries international america americas holdings enterprise enterprises company systems".split()
+GENERAL_NAMES = (
+    "corp", "inc", "llc", "ltd", "co", "group", "automotive", "manufacturing", "industries", "international", "america", "americas", "holdings", "enterprise",
+    "enterprises", "company", "systems",
+)
 RELATIONSHIP = ("linked to", "supplier of", "supply chain", "supplier network", "connected to", "supplies to", "works with", "partners with")
 #: Fixed value: a part that hits this few rows is widened to its words.
 FEW = 2

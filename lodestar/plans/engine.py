@@ -81,7 +81,7 @@ class Engine:
     def retrieve(self, q: str, k: int | None = None, filters: dict[str, list[str]] | None = None, probes: list[str] | None = None) -> DataFrame:
         """Rows by fused BM25, overlap, vector and entity lists of every probe; the question and its phrases are the probes if none are given."""
         s = self.settings
-        probes = (probes or rewrite.probes(q, self.index))[: s.most_probes]
+        probes = (probes or rewrite.probes(q, self.index))[: s.most_probes or None]
         each = [retrieval.bm25_each(self.kept(), "_row_id", probes, s.probe_top_k), retrieval.overlap_each(self.table, probes, self.texts, "_row_id", s.probe_top_k)]
         lists = [found.select((2 * F.col("probe") + n).alias("list"), "_row_id", "rank") for n, found in enumerate(each)]
         n = 2 * len(probes)

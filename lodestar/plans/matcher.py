@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from ..operators.schema import Column
@@ -10,11 +11,15 @@ from . import operations
 
 #: Question words that are never terms.
 STOP_WORDS = (
-    "in the and or a an of to is are was were be been being have has had do does did will would could should may might shall can which what where who how when all show list give find tell me "
-    "their its with for by from on at that this these those each any only also both georgia company companies supplier suppliers linked related associated across among including such into not no full "
-    "set complete entire total count number highest lowest most least top bottom"
-).split()
-GENERIC = "supplier company companies manufacturer manufacturers provider providers facility facilities".split()
+    "in", "the", "and", "or", "a", "an", "of", "to", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would",
+    "could", "should", "may", "might", "shall", "can", "which", "what", "where", "who", "how", "when", "all", "show", "list", "give", "find", "tell", "me", "their",
+    "its", "with", "for", "by", "from", "on", "at", "that", "this", "these", "those", "each", "any", "only", "also", "both", "georgia", "company", "companies",
+    "supplier", "suppliers", "linked", "related", "associated", "across", "among", "including", "such", "into", "not", "no", "full", "set", "complete", "entire", "total",
+    "count", "number", "highest", "lowest", "most", "least", "top", "bottom",
+)
+GENERIC = (
+    "supplier", "company", "companies", "manufacturer", "manufacturers", "provider", "providers", "facility", "facilities",
+)
 LEAST = 3
 
 
@@ -110,11 +115,11 @@ def ngrams(q: str, longest: int = 6) -> list[str]:
     return [g for n in range(longest, 0, -1) for i in range(len(t) - n + 1) if len(g := " ".join(t[i : i + n])) >= LEAST]
 
 
-def live_values(q: str, index: dict[str, Column], longest: int = 6, top: int = 10) -> list[tuple[float, str, str, str]]:
-    """``score, column, value, phrase``: 3 for the value itself, 2 for it but for spaces and slashes, 1 for a part; longer phrases first."""
+def live_values(q: str, index: dict[str, Column], longest: int = 6, top: int = 10, keep: Callable[[str, str], bool] | None = None) -> list[tuple[float, str, str, str]]:
+    """``score, column, value, phrase`` of the columns and values that ``keep`` takes: 3 for the value itself, 2 for it but for spaces and slashes, 1 for a part; longer phrases first."""
     out = []
     for c in (m for m in index.values() if m.filterable):
-        for v in c.values:
+        for v in (x for x in c.values if keep is None or keep(c.name, x)):
             scored = [(3 if g.lower() == v.lower() else 2 if flat(g) == flat(v) else 1 if len(v) >= LEAST and v.lower() in g.lower() else 0, g) for g in ngrams(q, longest)]
             s, g = max(scored, key=lambda x: (x[0], -len(x[1])), default=(0, ""))
             if s:

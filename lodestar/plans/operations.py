@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import automaton, overlap
 
 #: The words that route a question.
 SPOF = (
@@ -17,8 +18,8 @@ SPOF = (
 HIGH = ("highest", "most", "maximum", "largest", "top", "biggest", "greatest")
 LOW = ("lowest", "minimum", "fewest", "least", "smallest", "bottom")
 SUM = ("total", "sum", "combined", "aggregate", "overall")
-NUMBER = ("employment", "employees?", "jobs", "headcount", "investment", "amount", "capacity")
-GROUP = ("county", "counties", "city", "cities", "tier", "roles?", "category", "categories", "types?", "locations?")
+NUMBER = ("employment", "employee", "employees", "jobs", "headcount", "investment", "amount", "capacity")
+GROUP = ("county", "counties", "city", "cities", "tier", "role", "roles", "category", "categories", "type", "types", "location", "locations")
 COUNT = (r"how\s+many", "count", r"number\s+of", r"total\s+number")
 EXHAUSTIVE = ("all", "every", r"complete\s+list", r"full\s+list", "entire", *COUNT, "total", "sum", "combined", "highest", "lowest", "maximum", "minimum", "most", "least", "top", "bottom", r"single\s+point\s+of\s+failure", r"sole\s+supplier", r"only\s+one")
 ANALYTICAL = (r"single\s+point\s+of\s+failure", r"sole\s+supplier", r"only\s+one", *COUNT[:3], *SUM, *HIGH, *LOW, "average", "rank", "ranking")
@@ -136,8 +137,13 @@ COLUMNS = {
     "general": None,
 }
 #: Words that make a phrase one of a product, or of a place.
-PRODUCT = "battery cell pack module modules thermal power electronics motor motors charging charger wiring harness component components materials management".split()
-PLACE = "county city georgia location region state".split()
+PRODUCT = (
+    "battery", "cell", "pack", "module", "modules", "thermal", "power", "electronics", "motor", "motors", "charging", "charger", "wiring", "harness", "component",
+    "components", "materials", "management",
+)
+PLACE = (
+    "county", "city", "georgia", "location", "region", "state",
+)
 
 
 def phrase_kind(p: Column) -> Column:
@@ -151,6 +157,14 @@ def phrase_kind(p: Column) -> Column:
     )
 
 
+def phrase_kind_sql(p: str) -> str:
+    matches = lambda c, pattern: f"regexp_matches({c}, '{pattern}')"
+    return (
+        rf"CASE WHEN {matches(f'lower({p})', r'\btier\s*[0-9]')} THEN 'tier' WHEN {matches(f'trim(lower({p}))', f'^{bounded(ANALYTICAL)}$')} THEN 'analytical' "
+        f"WHEN {matches(f'lower({p})', bounded(tuple(PRODUCT)))} THEN 'product_component' WHEN {matches(f'lower({p})', bounded(tuple(PLACE)))} THEN 'location' ELSE 'general' END"
+    )
+
+
 def kind_of(phrase: str) -> str:
     if re.search(r"\btier\s*\d", phrase, re.I):
         return "tier"
@@ -183,25 +197,15 @@ def support_level(total: int, filters: bool, unmatched: bool) -> str:
 
 
 def value_matches(asked: DataFrame, values: DataFrame, least: int = 3) -> DataFrame:
-    """``id, value``: the values that stand in each question of ``asked(id, q)``, whatever the case.
-
-    A value's first three letters are its key; a question's runs of three letters fetch the values that may stand in it, and only
-    those are looked for. So questions and values of any number meet in an equi-join.
-    """
-    values = values.select(F.lower("value").alias("low"), "value").where(F.length("low") >= least).distinct()
-    low = F.lower("q")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(low) - least + 1, F.lit(1)))
-    keyed = asked.select("id", low.alias("low_q"), F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(least))))).alias("key"))
-    return keyed.join(values.withColumn("key", F.substring("low", 1, least)), "key").where(F.contains("low_q", F.col("low"))).select("id", "value")
+    """``id, value``: the values that stand in each question of ``asked(id, q)``, whatever the case."""
+    return automaton.holders(asked, values, least)
 
 
 def best_answers(asked: DataFrame, given: DataFrame, ask_id: str, give_id: str, body: str = "text", least: int = 5) -> DataFrame:
     """For each question the text that shares most words with it, at least ``least``; ties to the smaller id."""
-    a = asked.select(ask_id, F.explode(text.answer_words(F.col(body))).alias("word"))
-    g = given.select(give_id, F.explode(text.answer_words(F.col(body))).alias("word"))
-    shared = g.join(a, "word").groupBy(ask_id, give_id).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
-    order = Window.partitionBy(ask_id).orderBy(F.col("shared").desc(), give_id)
-    return shared.withColumn("n", F.row_number().over(order)).where("n = 1").select(ask_id, give_id, "shared")
+    words = text.answer_words(F.col(body)).alias("words")
+    found, _ = overlap.best(asked.select(F.col(ask_id).alias("ask"), words), given.select(F.col(give_id).alias("give"), words), least)
+    return found.select(F.col("ask").alias(ask_id), F.col("give").alias(give_id), "shared")
 
 
 def summary(scored: DataFrame) -> DataFrame:

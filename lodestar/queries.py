@@ -414,35 +414,37 @@ ASKED = (
     "Which roles are single point of failure?", "Show all Tier 1/2 suppliers in Georgia", "Which county has the highest total employment?", "How many Battery Cell companies are there?", "Thermal Management suppliers",
     "total jobs by city", "Which role has the fewest employees?", "largest companies", "number of tiers", "List every sole supplier", "tier 1 and tier 3 parts", "Show battery/cell or Tier 2, 4 companies", "the smallest plant", "companies linked to acme",
 )
-QUESTIONS = "(SELECT unnest(range(" + str(len(ASKED)) + ")) AS id, unnest([" + ", ".join("'" + q + "'" for q in ASKED) + "]) AS q)"
+QUESTIONS = "(SELECT conv_id * 1000 + turn AS id, [" + ", ".join("'" + q + "'" for q in ASKED) + f"][(conv_id + turn) % {len(ASKED)} + 1] || ' ' || text AS q FROM conversations)"
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(ASKED)), "id long, q string")
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn of ``conversations`` behind one of the questions."""
+    asked = F.element_at(F.array(*map(F.lit, ASKED)), ((F.col("conv_id") + F.col("turn")) % len(ASKED) + 1).cast("int"))
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(asked, F.lit(" "), "text").alias("q"))
 
 
 @query(rf"""SELECT id, list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(lower(q), '\btier\s*([0-9]+)\s*(?:/|and|or|&|,)\s*(?:tier\s*)?([0-9]+)\b', 1), regexp_extract_all(lower(q), '\btier\s*([0-9]+)\s*(?:/|and|or|&|,)\s*(?:tier\s*)?([0-9]+)\b', 2)), regexp_extract_all(lower(q), '\btier\s*([0-9]+)\b', 1)))).array_to_string(',') AS tiers,
-array_to_string(list_distinct(regexp_extract_all(lower(q), '(?:[a-z]+\s+)?[0-9]+/[0-9]+|[a-z]+/[a-z]+')), ',') AS slashed, regexp_replace(lower(q), '[ /]+', ' ', 'g') AS plain FROM {QUESTIONS}""")
+array_to_string(list_distinct(regexp_extract_all(lower(q), '(?:[a-z]+\s+)?[0-9]+/[0-9]+|[a-z]+/[a-z]+')), ',') AS slashed, trim(regexp_replace(lower(q), '[ \t\n/]+', ' ', 'g')) AS plain FROM {QUESTIONS}""")
 def requested_tiers(spark, d):
     q = F.col("q")
-    return questions(spark).select("id", F.array_join(text.tiers(q), ",").alias("tiers"), F.array_join(text.slash_phrases(q), ",").alias("slashed"), text.slash_flat(q).alias("plain"))
+    return questions(spark, d).select("id", F.array_join(text.tiers(q), ",").alias("tiers"), F.array_join(text.slash_phrases(q), ",").alias("slashed"), text.slash_flat(q).alias("plain"))
 
 
 @query(rf"""WITH t AS (SELECT id, unnest(regexp_extract_all(lower(q), '[a-z0-9]+(?:/[a-z0-9]+)?')) AS t FROM {QUESTIONS})
 SELECT DISTINCT id, t AS token FROM t UNION SELECT id, CASE WHEN t LIKE '%ies' AND length(t) > 4 THEN t[:-4] || 'y' WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 3 THEN t[:-2] ELSE t END FROM t""")
 def tokens_singular(spark, d):
-    return questions(spark).select("id", F.explode(text.token_set(F.col("q"))).alias("token"))
+    return questions(spark, d).select("id", F.explode(text.token_set(F.col("q"))).alias("token"))
 
 
 @query(f"SELECT id, {operations.operation_sql('q')} AS operation, {operations.direction_sql('q')} AS direction, {operations.exhaustive_sql('q')} AS exhaustive FROM {QUESTIONS}")
 def detect_operation_batch(spark, d):
     q = F.col("q")
-    return questions(spark).select("id", operations.operation(q).alias("operation"), operations.direction(q).alias("direction"), operations.exhaustive(q).alias("exhaustive"))
+    return questions(spark, d).select("id", operations.operation(q).alias("operation"), operations.direction(q).alias("direction"), operations.exhaustive(q).alias("exhaustive"))
 
 
 @query(f"SELECT id, {operations.intent_sql('q')} AS intent FROM {QUESTIONS}")
 def detect_intent_batch(spark, d):
-    return questions(spark).select("id", operations.intent(F.col("q")).alias("intent"))
+    return questions(spark, d).select("id", operations.intent(F.col("q")).alias("intent"))
 
 
 @query(f"SELECT conv_id, turn, {operations.operation_sql('text')} AS operation FROM conversations WHERE role = 'user'")
@@ -450,6 +452,13 @@ def detect_operation_conversations(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", operations.operation(F.col("text")).alias("operation"))
 
 
+@query("""WITH v AS (SELECT DISTINCT word AS value FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION SELECT substr(text, 5, 6) FROM conversations) WHERE length(word) >= 3) SELECT DISTINCT conv_id * 1000 + turn AS id, value FROM conversations, v WHERE contains(lower(text), lower(value))""")
+def values_in_conversations(spark, d):
+    turns = table(spark, d, "conversations")
+    values = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("value")).unionByName(turns.select(F.substring("text", 5, 6).alias("value")))
+    return operations.value_matches(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("q")), values)
+
+
 @query("""WITH a AS (SELECT unnest(['show red gear and small bolt parts', 'old anvil', 'nothing here', 'blue ring or gizmo']) AS q, unnest([0, 1, 2, 3]) AS id), v AS (SELECT DISTINCT p_name AS value FROM part)
 SELECT id, value FROM a, v WHERE contains(q, value)""")
 def value_scan_join(spark, d):
@@ -457,10 +466,14 @@ def value_scan_join(spark, d):
     return operations.value_matches(asked, table(spark, d, "part").select(F.col("p_name").alias("value")))
 
 
-@query("SELECT phrase, kind FROM (SELECT unnest(['tier 1/2', 'highest', 'battery cell', 'fulton county', 'acme']) AS phrase, unnest(['tier', 'analytical', 'product_component', 'location', 'general']) AS kind)")
+PHRASES = "(SELECT conv_id, turn, CASE (conv_id + turn) % 7 WHEN 0 THEN 'tier 1/2' WHEN 1 THEN 'highest' WHEN 2 THEN 'battery cell' WHEN 3 THEN 'fulton county' WHEN 4 THEN 'acme' ELSE split_part(text, ' ', 1) END AS phrase FROM conversations)"
+
+
+@query(f"SELECT conv_id, turn, {operations.phrase_kind_sql('phrase')} AS kind FROM {PHRASES}")
 def phrase_type_compat(spark, d):
-    phrases = spark.createDataFrame([(p,) for p in ("tier 1/2", "highest", "battery cell", "fulton county", "acme")], "phrase string")
-    return phrases.select("phrase", operations.phrase_kind(F.col("phrase")).alias("kind"))
+    n = (F.col("conv_id") + F.col("turn")) % 7
+    phrase = F.when(n == 0, "tier 1/2").when(n == 1, "highest").when(n == 2, "battery cell").when(n == 3, "fulton county").when(n == 4, "acme").otherwise(F.split_part("text", F.lit(" "), F.lit(1)))
+    return table(spark, d, "conversations").select("conv_id", "turn", operations.phrase_kind(phrase).alias("kind"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 AND p_size % 2 = 0 THEN 'Not Supported' WHEN p_size % 5 >= 3 AND p_size % 2 = 1 AND p_size % 3 = 0 THEN 'Fully Supported' WHEN p_size % 5 >= 2 AND p_size % 2 = 1 THEN 'Mostly Supported' WHEN p_size % 5 >= 1 AND p_size % 2 = 1 THEN 'Partially Supported' ELSE 'Weakly Supported' END AS support FROM part")
@@ -502,9 +515,9 @@ def token_f1(spark, d):
     return best_pairs(spark, d).select("item_id", "doc_id", r6(text.token_f1(F.col("asked"), F.col("given"))).alias("f1"))
 
 
-@query(r"SELECT doc_id, trim(lower(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS norm FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\x00-\x7F]*$')")
+@query(r"SELECT doc_id, trim(lower(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS norm FROM documents")
 def norm_text(spark, d):
-    return table(spark, d, "documents").where(F.regexp_like("text", F.lit(r"^[\x00-\x7F]*$"))).select("doc_id", text.flat(F.col("text")).alias("norm"))
+    return table(spark, d, "documents").select("doc_id", text.flat(F.col("text")).alias("norm"))
 
 
 @query("SELECT p_partkey, trim(p_name || ' ' || p_brand) AS answer FROM part")
@@ -516,7 +529,7 @@ def clean_answer(spark, d):
 @query(rf"""WITH t AS (SELECT id, regexp_extract_all(q, '[A-Za-z0-9]+(?:/[A-Za-z0-9]+)*') AS w FROM {QUESTIONS})
 SELECT id, gram FROM (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' ')))) AS gram FROM t) WHERE length(gram) >= 3""")
 def question_ngrams(spark, d):
-    return questions(spark).select("id", F.explode(text.question_ngrams(F.col("q"), 2)).alias("gram"))
+    return questions(spark, d).select("id", F.explode(text.question_ngrams(F.col("q"), 2)).alias("gram"))
 
 
 @query(f"WITH f AS ({SQL['token_f1']}) SELECT count(*) AS n, round(avg(f1), 6) AS mean_f1, count(*) FILTER (f1 >= 0.8) AS good, count(*) FILTER (f1 >= 0.5) AS fair, count(*) FILTER (f1 = 0) AS none FROM f")
