@@ -4,9 +4,11 @@ A document's terms are its lower-cased words and the first four letters of longe
 counted once. The score adds a weight for every term and a product of factors for every pair of terms,
 so that an insult next to a mention of a group can weigh more than both alone.
 
-Fitted on a bounded sample of labelled rows (``rows``), twice. First with the ``first`` terms that most rows hold, whatever their labels: the
-weights alone for some passes, then weights and factors. The ``terms`` whose weights and pairs moved the margins most stay, so that a
-term that tells nothing alone stays for its pairs, and are fitted afresh. Every fifth row is kept out of both, and a logistic curve
+Fitted on a bounded sample of labelled rows (``rows``), twice. First with all terms that ``LEAST`` rows hold: the weights alone for some passes, then
+weights and factors. The ``terms`` whose weights and pairs moved the margins most stay, so that a term that tells nothing alone stays for its pairs. So do all
+terms, in whatever number, that go with a label more often than chance allows, among all rows or beside one of the ``CONTEXTS`` strongest terms (``telling``):
+rare insults that are toxic beside a group only. How much of that may be chance is tried by ``CHANCE``, up to all terms, and the fit with the least loss on rows
+kept out is taken. Every fifth row is kept out of both, and a logistic curve
 over its margins makes the score a probability. Defined results: null and empty texts get the score of no terms; if no row
 is labelled, or all labels agree, the score is the smoothed share of label 1 for every text.
 Repeated rows get equal scores, ties can't arise, an empty table gives an empty result, and a very
@@ -31,6 +33,8 @@ WORD = re.compile(r"\w+")
 BUCKETS = 1 << 20
 #: Rows that must hold a term.
 LEAST = 3
+#: Terms beside which others are tested, and the shares of tests passed that chance may make up; None takes all terms.
+CONTEXTS, CHANCE = 16, (0.05, 0.5, 0.9, None)
 #: Terms remembered by a worker before it starts afresh; bounds its memory.
 REMEMBERED = 300_000
 
@@ -162,6 +166,44 @@ def _moved(x: Rows, w: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
+def _unlikely(n: np.ndarray, k: np.ndarray, share: float) -> np.ndarray:
+    """The logarithm of a bound on the chance that ``k`` of ``n`` have a label that ``share`` of all have (Chernoff)."""
+    q = k / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.where(q > 0, q * np.log(q / share), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - share)), 0)
+    return np.minimum(0, np.log(2) - n * far)
+
+
+def telling(rows: list[list[int]], y: np.ndarray, chances: tuple[float, ...]) -> list[np.ndarray]:
+    """The terms that go with a label more often than chance, alone or beside or without a strong term; of the tests passed about each of ``chances`` are chance (Benjamini-Hochberg)."""
+    flat, _, _ = _flat(rows)
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    terms, place = np.unique(flat, return_inverse=True)
+
+    def tests(mine: np.ndarray) -> np.ndarray:
+        share, at = y[mine].mean() if mine.any() else 0.0, mine[of]
+        if not 0 < share < 1:
+            return np.zeros(len(terms))
+        n = np.bincount(place[at], minlength=len(terms))
+        return np.where(n >= LEAST, _unlikely(n, np.bincount(place[at], y[of[at]], len(terms)), share), 0.0)
+
+    alone = tests(np.ones(len(rows), bool))
+    held = np.bincount(place, minlength=len(terms))
+    strong = [c for c in np.argsort(alone, kind="stable")[:CONTEXTS] if alone[c] < -10 and held[c] >= 0.01 * len(rows)]
+    beside = []
+    for c in strong:
+        has = np.zeros(len(rows), bool)
+        has[of[place == c]] = True
+        beside += [tests(has), tests(~has)]
+    all_ = np.concatenate([alone, *beside])
+    real = np.sort(all_[all_ < 0])
+    out = []
+    for chance in chances:
+        passed = np.flatnonzero(real <= np.log(chance * np.arange(1, len(real) + 1) / max(1, len(all_))))
+        out.append(terms[np.unique(np.flatnonzero(all_ <= real[passed[-1]]) % len(terms))] if len(passed) else np.zeros(0, np.int64))
+    return out
+
+
 def _curve(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Slope and shift of the logistic curve over the margins, by Newton steps towards smoothed labels."""
     ones = y.sum()
@@ -173,7 +215,7 @@ def _curve(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, f
     return (float(a[0]), float(a[1])) if a[0] > 0 else (1.0, 0.0)
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, terms: int, factors: int, first: int = 1 << 15, steps: int = 1200) -> FactorizationMachine:
+def fit(rows: list[list[int]], labels: np.ndarray, terms: int, factors: int, steps: int = 1200) -> FactorizationMachine:
     """The machine of a sample; ``steps`` batches at least are taken in the first fit, twice as many in the second."""
     y = np.asarray(labels, float)
     prior = (y.sum() + 0.5) / (len(y) + 1)
@@ -184,20 +226,35 @@ def fit(rows: list[list[int]], labels: np.ndarray, terms: int, factors: int, fir
     out = np.arange(len(y)) % 5 == 4
     mine = [r for r, o in zip(rows, out, strict=True) if not o]
     held = np.bincount(_flat(mine)[0], minlength=BUCKETS)
-    best = np.argsort(-held, kind="stable")[:first]
+    known = np.flatnonzero(held >= LEAST)
     passes = max(8, -(-steps * 64 // max(1, len(mine))))
-    for best, passes, alone in ((best[held[best] >= LEAST], passes, passes // 2), (None, 2 * passes, passes // 2)):
-        if best is None:
-            moved, known = _moved(x, w, v), np.flatnonzero(slots >= 0)
-            best = known[np.argsort(-moved[slots[known]], kind="stable")[:terms]]
+
+    def fitted(places: np.ndarray, passes: int, alone: int) -> tuple[FactorizationMachine, Rows]:
         slots = np.full(BUCKETS, -1, np.int32)
-        slots[best] = np.arange(len(best))
+        slots[places] = np.arange(len(places))
         x = Rows(mine, slots)
-        bias, w, v = _descend(x, y[~out], factors, passes, alone)
-    model = FactorizationMachine(slots, bias, w, v)
+        return FactorizationMachine(slots, *_descend(x, y[~out], factors, passes, alone)), x
+
+    def placed(model: FactorizationMachine, which: np.ndarray) -> list[list[int]]:
+        return [[s for s in model.slots[rows[i]].tolist() if s >= 0] if rows[i] else [] for i in np.flatnonzero(which)]
+
+    first, x = fitted(known, passes, passes // 2)
+    moved = known[np.argsort(-_moved(x, first.weights, first.factors), kind="stable")[:terms]]
+    trial = np.arange(len(y)) % 10 == 4
+    best, least, size = None, np.inf, 0
+    for more in [*telling(mine, y[~out], tuple(c for c in CHANCE if c)), *([known] if None in CHANCE else [])]:
+        places = np.union1d(moved, more)
+        if len(places) < 1.1 * size:
+            continue
+        size = len(places)
+        model, _ = fitted(places, 2 * passes, passes // 2)
+        margin = model.margin(placed(model, trial))
+        loss = float(np.logaddexp(0, np.where(y[trial] == 1, -margin, margin)).mean()) if trial.any() else 0.0
+        if loss < least:
+            best, least = model, loss
+    model = best
     if 0 < y[out].sum() < out.sum():
-        kept = [[s for s in slots[r].tolist() if s >= 0] if r else [] for r, o in zip(rows, out, strict=True) if o]
-        model.slope, model.shift = _curve(model.margin(kept), y[out])
+        model.slope, model.shift = _curve(model.margin(placed(model, out)), y[out])
     return model
 
 

@@ -151,3 +151,22 @@ def test_accepted_keeps_columns(spark, tmp_path):
 def test_features_of_plain_texts():
     assert len(quality.features(None)) == len(quality.features("a B! | 9")) == quality.WIDTH
     assert np.isfinite(quality.features("x" * 100_000)).all()
+
+
+@pytest.mark.parametrize("kinds, least", [(100, 0.98), (400, 0.9)])
+def test_rare_insults_that_are_toxic_beside_a_group_only(kinds, least):
+    rng = np.random.default_rng(kinds)
+    words, insults = [f"w{i}" for i in range(3000)], ["".join(rng.choice(list("abcdefghijklmnop"), 8)) for _ in range(kinds)]
+
+    def made():
+        group, insult = rng.random() < 0.5, rng.random() < 0.5
+        return " ".join([*rng.choice(words, 25), *(["folk"] if group else []), *([rng.choice(insults)] if insult else [])]), int(group and insult)
+
+    fitted, tried = [made() for _ in range(12_000)], [made() for _ in range(3_000)]
+    of = toxicity.Terms()
+    model = toxicity.fit([of(t) for t, _ in fitted], np.array([y for _, y in fitted]), 512, 4)
+    of = toxicity.Terms(model.slots)
+    score, y = model.score([of(t) for t, _ in tried]), np.array([y for _, y in tried])
+    order = np.argsort(np.argsort(score, kind="stable"), kind="stable") + 1
+    auc = (order[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    assert auc >= least, auc
