@@ -49,7 +49,7 @@ def children(parents: DataFrame, chunks: dict[str, tuple[str, ...]] | None = Non
     def chunk(kind: str, fields: tuple[str, ...]) -> Column:
         lines = [F.when(F.col(f).isNotNull(), F.concat(F.lit(f"{f}: "), F.col(f))) for f in fields]
         return F.struct(
-            F.concat("record_id", F.lit(f"_{kind}")).alias("chunk_id"), F.col("record_id").alias("parent_record_id"), F.lit(kind).alias("chunk_type"), "source_type", "source_row_id",
+            F.concat("record_id", F.lit(f"_{kind}")).alias("chunk_id"), F.col("record_id").alias("parent_record_id"), F.lit(kind).alias("chunk_type"), "source_type", F.coalesce("source_row_id", F.lit(0)).alias("source_row_id"),
             F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("metadata"), F.concat_ws("\n", F.lit(f"chunk_type: {kind}"), *lines).alias("embedding_text"),
         )
 

@@ -33,6 +33,7 @@ class Answer:
     confidence: str = "low"
     queries: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    debug: dict[str, object] = field(default_factory=dict)
 
 
 class Engine:
@@ -176,13 +177,16 @@ class Engine:
         index = self.known(q)
         said = self.rewritten(q, index)
         found = matcher.match(q, index)
-        filters = predicates.merged(found.filters, matcher.resolve(q, index).filters, self.table.columns)
+        resolved = matcher.resolve(q, index)
+        filters, warnings = predicates.merged(found.filters, resolved.filters, self.table.columns), list(said.warnings)
         if self.generator:
             for other in said.queries[1:]:
                 filters = predicates.merged(filters, matcher.match(other, index).filters, self.table.columns)
             filters = filters or predicates.merged({}, said.filters, self.table.columns)
         if matcher.tiers(q):
-            filters = {c: kept for c, vs in filters.items() if (kept := [v for v in vs if matcher.is_tier_column(c) or not operations.kind_of(v) == "tier"])}
+            odd = [(c, v) for c, vs in filters.items() for v in vs if operations.kind_of(v) == "tier" and not matcher.is_tier_column(c)]
+            warnings += [f"{v} doesn't filter {c}" for c, v in odd]
+            filters = {c: kept for c, vs in filters.items() if (kept := [v for v in vs if (c, v) not in odd])}
         rows, fell_back = self.base(q, kind, filters, bool(op["exhaustive"]) or said.exhaustive, said.queries)
         out = self.apply(kind, rows, q, str(intent.get("direction", "desc")), n)
         head = out.limit(self.settings.most_evidence).collect()
@@ -193,7 +197,7 @@ class Engine:
         spoken, risk = self.said(q, plain, lines)
         support = operations.support_level(total, bool(filters), bool(found.unmatched))
         method = " + ".join(name for name, used in (("two stages", self.generator), ("filters", filters), ("BM25 and overlap", fell_back and "_score" in rows.columns), ("vectors", self.embed)) if used)
-        return Answer(q, kind, spoken, support, filters, lines, found.unmatched, fell_back, risk, method or "whole table", said.confidence, said.queries, said.warnings)
+        return Answer(q, kind, spoken, support, filters, lines, found.unmatched, fell_back, risk, method or "whole table", said.confidence, said.queries, warnings, resolved.to_debug_dict())
 
     def said(self, q: str, plain: str, lines: list[str]) -> tuple[str, str]:
         """The generator's answer from the evidence, cleaned, or ``plain`` without one; and its risk, by what of it the evidence lacks."""

@@ -101,11 +101,12 @@ class Mapped:
 def mapped_phrases(said: object, discovered: dict[str, list[str]]) -> tuple[list[Mapped], list[str]]:
     """A generator's phrases with those of their terms that were found in columns which such a phrase may mean, and what was refused.
 
-    ``discovered`` has each found term's columns. A phrase that loses terms is less trusted; one that asks for an operation maps to nothing.
+    ``discovered`` has each found term's columns. A phrase that loses terms is less trusted, and so is one for which names of columns alone stand;
+    one that asks for an operation maps to nothing.
     """
     if not isinstance(said, list):
         return [], ["not a list"]
-    known = {t.lower(): t for t in discovered}
+    known, names = {t.lower(): t for t in discovered}, {c for columns in discovered.values() for c in columns}
     out, refused = [], []
     for item in (x for x in said if isinstance(x, dict)):
         phrase, asked_ = str(item.get("user_phrase", "")).strip(), as_list(item.get("kb_supported_terms"), MOST_TERMS)
@@ -119,6 +120,7 @@ def mapped_phrases(said: object, discovered: dict[str, list[str]]) -> tuple[list
         said_ = str(item.get("confidence", "")).strip().lower()
         trust = said_ if said_ in ("low", "medium", "high") else "low"
         trust = "low" if asked_ and not kept else "medium" if len(kept) < len(asked_) and trust == "high" else trust
+        trust = "low" if kept and all(re.sub(r"[^a-z0-9]+", "_", t.lower()).strip("_") in names for t in kept) else trust
         out.append(Mapped(phrase, tuple(dict.fromkeys(kept)), trust))
     return out, refused
 

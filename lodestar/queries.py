@@ -262,10 +262,17 @@ def child_chunks(spark, d):
     return chunks.children(chunks.parents(kb_text(spark, d))).select("chunk_id", "parent_record_id", "chunk_type")
 
 
-@query(f"SELECT record_id || '_product_role' AS chunk_id, company, coalesce(ev_supply_chain_role, 'Unknown') AS role, 'chunk_type: product_role' || chr(10) || 'company: ' || company || chr(10) || 'ev_supply_chain_role: ' || coalesce(ev_supply_chain_role, 'Unknown') || chr(10) || 'product_service: Unknown' || chr(10) || 'ev_battery_relevant: Unknown' AS body FROM ({PARENT})")
+def chunk_sql(kind: str, fields: tuple[str, ...]) -> str:
+    """A kind of chunk of the suppliers: its fields as JSON and as lines."""
+    said = {"company": "company", "category": "category", "updated_location": "updated_location", "ev_supply_chain_role": "coalesce(ev_supply_chain_role, 'Unknown')"}
+    value = {f: said.get(f, "'Unknown'") for f in fields}
+    pairs = " || ',' || ".join(f"'\"{f}\":\"' || {v} || '\"'" for f, v in value.items())
+    return f"SELECT record_id || '_{kind}' AS chunk_id, '{{' || {pairs} || '}}' AS metadata, 'chunk_type: {kind}'" + "".join(f" || chr(10) || '{f}: ' || {v}" for f, v in value.items()) + f" AS body FROM ({PARENT})"
+
+
+@query(" UNION ALL ".join(chunk_sql(k, f) for k, f in chunks.CHUNKS.items()))
 def child_metadata_json(spark, d):
-    c = chunks.children(chunks.parents(kb_text(spark, d))).where("chunk_type = 'product_role'")
-    return c.select("chunk_id", F.get_json_object("metadata", "$.company").alias("company"), F.get_json_object("metadata", "$.ev_supply_chain_role").alias("role"), F.col("embedding_text").alias("body"))
+    return chunks.children(chunks.parents(kb_text(spark, d))).select("chunk_id", "metadata", F.col("embedding_text").alias("body"))
 
 
 def broken(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -402,11 +409,12 @@ def ngrams(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(text.ngrams(t, 3, 4)).alias("gram"))
 
 
-@query("""WITH o AS (SELECT p_partkey AS row_, lower(p_type) AS term, 2.0 AS weight FROM part UNION ALL SELECT p_partkey, w, 0.5 FROM (SELECT p_partkey, unnest(list_concat(regexp_extract_all(p_name, '[a-z][a-z0-9-]*'), [p_name])) AS w FROM part) WHERE length(w) >= 4)
-SELECT term, count(*) AS frequency, max(weight) AS weight FROM o GROUP BY term HAVING count(*) >= 2 ORDER BY max(weight) * count(*) DESC, term LIMIT 30""")
+@query("""WITH o AS (SELECT p_partkey AS row_, 'p_type' AS c, lower(p_type) AS term, 2.0 AS weight FROM part UNION ALL SELECT p_partkey, 'p_name', w, 0.5 FROM (SELECT p_partkey, unnest(list_concat(regexp_extract_all(p_name, '[a-z][a-z0-9-]*'), [p_name])) AS w FROM part) WHERE length(w) >= 4)
+SELECT term, count(*) AS frequency, max(weight) AS weight, array_to_string(list_sort(list_distinct(list(c))), ',') AS "columns", array_to_string(list_sort(list_distinct(list(row_)))[1:5], ',') AS "rows"
+FROM o GROUP BY term HAVING count(*) >= 2 ORDER BY max(weight) * count(*) DESC, term LIMIT 30""")
 def term_discovery(spark, d):
     found = terms.discover(table(spark, d, "part"), {"p_type": "exact", "p_name": "partial"}, "p_partkey", weights={"p_type": 2.0})
-    return found.select("term", "frequency", "weight")
+    return found.select("term", "frequency", "weight", F.array_join("columns", ",").alias("columns"), F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"))
 
 
 #: Questions of every kind, as a table.

@@ -42,7 +42,7 @@ def questions(raw: DataFrame) -> DataFrame:
     at = lambda i: names[min(i, len(names) - 1)]
     num, category = by("num", "number", "#", "id") or at(0), by("category", "use case")
     question, answer = by("question") or at(2), by("human", "validated") or at(3)
-    out = raw.select(F.col(num).try_cast("int").alias("num"), (F.col(category) if category else F.lit(None)).cast("string").alias("category"), F.trim(question).alias("question"), F.trim(answer).alias("human_answer"))
+    out = raw.select(F.trim(F.col(num).cast("string")).try_cast("double").try_cast("int").alias("num"), (F.col(category) if category else F.lit(None)).cast("string").alias("category"), F.trim(question).alias("question"), F.trim(answer).alias("human_answer"))
     return out.where("question is not null and question <> '' and lower(question) <> 'nan'")
 
 

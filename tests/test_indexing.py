@@ -64,3 +64,23 @@ def test_mapped_phrases_keep_to_found_terms_of_fitting_columns():
     assert [(m.terms, m.confidence) for m in kept] == [(("Battery Cell",), "medium"), ((), "low")]
     assert refused == ["term: Acme", "operation: highest", "term: Widget"] and rewrite.mapped_phrases(None, found)[1] == ["not a list"]
     assert operations.analytical_tokens("Which county has the highest total number of jobs?") == {"highest", "total", "number", "of"}
+
+
+def test_names_of_columns_alone_support_little():
+    found = {"Product Service": ["product_service"], "Pack": ["product_service"]}
+    kept, _ = rewrite.mapped_phrases([{"user_phrase": "services", "kb_supported_terms": ["product service"], "confidence": "high"}, {"user_phrase": "packs", "kb_supported_terms": ["product service", "pack"], "confidence": "high"}], found)
+    assert [m.confidence for m in kept] == ["low", "high"]
+
+
+def test_numbers_of_questions_and_rows_without_an_id(spark):
+    from lodestar.sources import files
+
+    sheet = spark.createDataFrame([("3.0", "c", "How many?", "4"), (" 7 ", "c", "Which?", None), ("x", "c", "None?", "")], "Num string, Category string, Question string, `Human answer` string")
+    assert [r.num for r in files.questions(sheet).collect()] == [3, 7, None]
+    rows = chunks.children(chunks.parents(kb(spark).selectExpr("cast(null as int) as _row_id", "company")))
+    assert {r.source_row_id for r in rows.collect()} == {0}
+
+
+def test_answers_tell_what_was_resolved_and_dropped(spark):
+    a = engine.Engine(kb(spark), config.Settings(most_probes=1)).answer("Show all Tier 1 companies")
+    assert set(a.debug) == {"perfect", "candidate", "rejected", "deterministic_filters"} and isinstance(a.warnings, list)
