@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import cleaning, text
+from .functions import cleaning, sql, text, variants
 from .operators import aggregates, chunks, predicates, retrieval, schema, terms
 from .plans import operations
 from .sources import upsert, written
@@ -552,6 +552,37 @@ def json_extract_validate(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(obj, "$.k").cast("int").alias("k"), text.holds_keys(said, ["k"]).alias("has_k"), text.holds_keys(said, ["k", "z"]).alias("has_z"))
 
 
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.none') AS absent, true AS has_k, false AS has_z, json_valid(props) AS fine FROM events")
+def event_paths(spark, d):
+    e = variants.parsed(table(spark, d, "events"), v="props")
+    return e.select("event_id", variants.at("v", "$.k", "int").alias("k"), variants.at("v", "$.none").alias("absent"), variants.holds("v", ["k"]).alias("has_k"), variants.holds("v", ["k", "z"]).alias("has_z"), F.col("v").isNotNull().alias("fine"))
+
+
+@query(f"SELECT CAST(_row_id AS INTEGER) AS source_row_id, company, ev_supply_chain_role AS role, CAST(_row_id AS BIGINT) AS row, 'Cat' AS kind FROM ({SUPPLIER_KB})")
+def parent_paths(spark, d):
+    p = variants.parsed(chunks.parents(kb_text(spark, d)).select("source_row_id", "raw_row"), raw="raw_row")
+    path = scratch(spark, "variants")
+    p.drop("raw_row").write.parquet(path)
+    at = lambda name, kind="string": variants.at("raw", f"$.{name}", kind)
+    return spark.read.parquet(path).select("source_row_id", at("company").alias("company"), at("ev_supply_chain_role").alias("role"), at("_row_id", "long").alias("row"), F.left(at("category"), F.lit(3)).alias("kind"))
+
+
+@query(f"""WITH k AS ({SUPPLIER_KB}) SELECT _row_id, TRY_CAST(nullif(regexp_extract(replace(company, ',', ''), '-?[0-9]+([.][0-9]+)?', 0), '') AS DOUBLE) AS number, trim(split_part(updated_location, ',', 2)) AS county,
+'KB_ROW_' || printf('%04d', _row_id) || '_' || substr(md5(company || '||' || CAST(_row_id AS VARCHAR)), 1, 12) AS id FROM k""")
+def functions_in_sql(spark, d):
+    sql.register(spark)
+    supplier_kb(spark, d).createOrReplaceTempView("suppliers_kb")
+    return spark.sql("SELECT _row_id, clean_numeric(company) AS number, extract_county(updated_location) AS county, record_id(_row_id, array(company, CAST(NULL AS STRING))) AS id FROM suppliers_kb")
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z][a-z0-9-]*') AS w FROM conversations), g AS (SELECT conv_id, turn, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' ')))) AS gram FROM t)
+SELECT conv_id, turn, count(*) AS grams, count(DISTINCT gram) AS different FROM g GROUP BY conv_id, turn""")
+def ngrams_in_sql(spark, d):
+    sql.register(spark)
+    table(spark, d, "conversations").createOrReplaceTempView("turns_said")
+    return spark.sql("SELECT conv_id, turn, count(*) AS grams, count(DISTINCT gram) AS different FROM turns_said, LATERAL text_ngrams(text, 2) GROUP BY conv_id, turn")
+
+
 @query("SELECT count(DISTINCT p_partkey) AS unique_rows, round(avg(p_retailprice), 6) AS mean_score, bool_or(contains(lower(p_name), 'gear')) AS hit_gear, bool_or(contains(lower(p_name), 'nowhere')) AS hit_nowhere FROM part WHERE p_size < 20")
 def retrieval_quality(spark, d):
     return operations.retrieval_quality(table(spark, d, "part").where("p_size < 20"), "p_partkey", "p_retailprice", {"gear": "p_name", "nowhere": "p_name"}).withColumn("mean_score", r6("mean_score"))
