@@ -102,6 +102,26 @@ def bm25_each(kept: Kept, key: str, probes: list[str], k: int = 50, k1: float =
     return best(scored.where("score > 0"), key, k)
 
 
+def bm25_set(kept: Kept, key: str, asked: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``q, probe, key, rank`` for a table of probes ``asked(q, probe, term, times)`` of any size: one join with the postings, sums before the shuffle."""
+    df = kept.held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(kept.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    weighed = asked.join(df, "term").withColumn("idf", F.when(idf < 0, kept.floor).otherwise(idf))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / kept.mean_length))
+    scored = kept.held.join(weighed, "term").groupBy("q", "probe", key).agg(F.sum(part).alias("score"))
+    return best_set(scored.where("score > 0"), key, k)
+
+
+def overlap_set(held: DataFrame, key: str, asked: DataFrame, k: int = 50) -> DataFrame:
+    """``q, probe, key, rank`` by shared words, of distinct words ``held(key, word)`` and ``asked(q, probe, word)``."""
+    return best_set(held.join(asked, "word").groupBy("q", "probe", key).agg(F.count(F.lit(1)).alias("score")), key, k)
+
+
+def best_set(scored: DataFrame, key: str, k: int) -> DataFrame:
+    order = Window.partitionBy("q", "probe").orderBy(F.col("score").desc(), key)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "probe", key, (F.col("rank") - 1).alias("rank"))
+
+
 def bm25(docs: DataFrame, key: str, body: Column, query: str, k: int = 50, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi BM25 of one query; a token asked twice counts twice; terms in most documents get a fraction of the mean weight.
 

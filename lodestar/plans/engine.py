@@ -15,7 +15,7 @@ from ..config import Settings
 from ..functions import text
 from ..operators import aggregates, chunks, predicates, retrieval, schema, terms
 from ..sources.written import drop, materialize
-from . import matcher, operations, rewrite
+from . import compiled, matcher, operations, rewrite, together
 
 
 @dataclass
@@ -47,27 +47,18 @@ class Engine:
         self.index = schema.index(table)
         self.match = predicates.matches(self.index)
 
+    def numbers(self) -> list[str]:
+        return [f.name for f in self.table.schema if isinstance(f.dataType, NumericType) and f.name != "_row_id"]
+
     def numeric_column(self, q: str) -> str | None:
-        """The numeric column that the question names, else a usual one, else the first that isn't an id."""
-        names = [f.name for f in self.table.schema if isinstance(f.dataType, NumericType) and f.name != "_row_id"]
-        asked = matcher.token_set(q)
-        named = [c for c in names if asked & set(c.lower().split("_"))]
-        usual = [c for w in ("employment", "employees", "employee", "jobs", "headcount", "investment", "amount", "capacity") for c in names if w in c.lower()]
-        return next(iter([*named, *usual, *(c for c in names if "id" not in c.lower()), *names]), None)
+        return compiled.metric(q, self.numbers())
 
     def group_column(self, q: str) -> str | None:
-        """A place column for counties, else the text column whose name shares most words with the question, fewest values first."""
-        names = [c for c, t in self.table.dtypes if t == "string"]
-        asked = matcher.token_set(q)
-        if asked & {"county", "counties"}:
-            for want in (("county",), ("location", "city", "address")):
-                if hit := [c for c in names if any(w in c.lower() for w in want)]:
-                    return hit[0]
-        shared = sorted((-len(asked & matcher.token_set(c.replace("_", " "))), self.index[c].n_values if c in self.index else 0, c) for c in names)
-        if shared and shared[0][0]:
-            return shared[0][2]
-        # Else the first column whose values hold a longer word of the question in three of ten rows.
-        if not names or not (long := sorted(w for w in asked if len(w) >= 4)):
+        """The text column that the question names, else the first whose values hold a longer word of it in three of ten rows."""
+        names = self.texts
+        if named := compiled.group(q, names, {c.name: c.n_values for c in self.index.values()}):
+            return named
+        if not names or not (long := compiled.long_words(q)):
             return None
         holds = [F.avg(reduce(Column.__or__, [F.contains(F.lower(c), F.lit(w)) for w in long]).cast("int")).alias(c) for c in names]
         share = self.table.agg(*holds).first()
@@ -144,32 +135,44 @@ class Engine:
             return single, False
         return self.retrieve(q, max(self.settings.most_evidence, 100) if exhaustive else self.settings.most_evidence, filters, probes), True
 
+    def alone(self) -> DataFrame | None:
+        """The rows of roles that one company holds, if the table has both."""
+        role = next((c for c in self.table.columns if "role" in c), None)
+        return aggregates.single_points(self.table, role, "company") if role and "company" in self.table.columns else None
+
     def apply(self, kind: str, rows: DataFrame, q: str, direction: str = "desc", n: int = 1) -> DataFrame:
-        metric, group = self.numeric_column(q), self.group_column(q)
+        """The operation's result, in order: of its own, of found rows' scores, else of ``_row_id``."""
+        metric = self.numeric_column(q)
         if kind == "count":
             return aggregates.count(rows)
         if kind == "rank" and metric:
             return aggregates.ranked(rows, metric, "_row_id", n, direction)
-        if kind == "aggregate_sum" and metric and group:
+        if kind == "aggregate_sum" and metric and (group := self.group_column(q)):
             return aggregates.grouped_sum(rows, group, metric, direction)
         if kind == "spof":
-            role = next((c for c in self.table.columns if "role" in c), None)
-            return aggregates.single_points(self.table, role, "company") if role else rows.limit(0)
-        return rows
+            alone = self.alone()
+            return rows.limit(0) if alone is None else alone.orderBy("_row_id")
+        return rows.orderBy(F.round("_score", 12).desc(), "_row_id") if "_score" in rows.columns else rows.orderBy("_row_id")
 
-    def known(self, q: str) -> dict[str, schema.Column]:
-        """The columns, those of too many values to hold with the values that the question names."""
+    def unheld(self) -> DataFrame | None:
+        """``column, value, part``: values, and their parts between commas, of columns that have too many to hold."""
         many = [c for c in self.index.values() if not c.held and c.filterable]
         if not many:
-            return self.index
+            return None
         cells = self.table.select(F.explode(F.array(*[F.struct(F.lit(c.name).alias("column"), F.trim(c.name).alias("value")) for c in many])).alias("x")).select("x.*")
         cells = cells.where("value <> '' and lower(value) <> 'nan'").withColumn("part", F.lit(False))
         parts = cells.where(F.contains("value", F.lit(","))).select("column", F.explode(F.split("value", ",")).alias("value")).select("column", F.trim("value").alias("value"), F.lit(True).alias("part"))
-        cells = cells.unionByName(parts.where(F.length("value") >= schema.LEAST_PART)).distinct()
+        return cells.unionByName(parts.where(F.length("value") >= schema.LEAST_PART)).distinct()
+
+    def known(self, q: str) -> dict[str, schema.Column]:
+        """The columns, those of too many values to hold with the values that the question names."""
+        cells = self.unheld()
+        if cells is None:
+            return self.index
         asked = self.table.sparkSession.createDataFrame([(0, q)], "id int, q string")
         hits = operations.value_matches(asked, cells).select("value").distinct().join(cells, "value").collect()
         named = lambda c, part: tuple(sorted(r["value"] for r in hits if r["column"] == c.name and r["part"] == part))
-        return self.index | {c.name: replace(c, values=named(c, False), parts=named(c, True)) for c in many}
+        return self.index | {c.name: replace(c, values=named(c, False), parts=named(c, True)) for c in self.index.values() if not c.held and c.filterable}
 
     def answer(self, q: str, n: int = 1) -> Answer:
         op, intent = operations.detect(q), operations.effective_intent(q, self.settings.strict)
@@ -183,15 +186,12 @@ class Engine:
             for other in said.queries[1:]:
                 filters = predicates.merged(filters, matcher.match(other, index).filters, self.table.columns)
             filters = filters or predicates.merged({}, said.filters, self.table.columns)
-        if matcher.tiers(q):
-            odd = [(c, v) for c, vs in filters.items() for v in vs if operations.kind_of(v) == "tier" and not matcher.is_tier_column(c)]
-            warnings += [f"{v} doesn't filter {c}" for c, v in odd]
-            filters = {c: kept for c, vs in filters.items() if (kept := [v for v in vs if (c, v) not in odd])}
+        filters, odd = compiled.without_odd_tiers(q, filters)
+        warnings += [f"{v} doesn't filter {c}" for c, v in odd]
         rows, fell_back = self.base(q, kind, filters, bool(op["exhaustive"]) or said.exhaustive, said.queries)
         out = self.apply(kind, rows, q, str(intent.get("direction", "desc")), n)
-        head = out.limit(self.settings.most_evidence).collect()
-        labels = {c: c.replace("_", " ").title() for c in out.columns}
-        lines = [" | ".join(f"{labels[c]}: {v}" for c, v in r.asDict().items() if v is not None and c not in ("_row_id", "_score", *schema.SKIPPED)) for r in head]
+        head = out.limit(self.settings.most_evidence).select(together.line(out).alias("line"), *(["count"] if kind == "count" else [])).collect()
+        lines = [r["line"] for r in head]
         total = head[0]["count"] if kind == "count" else len(head)
         plain = f"There are {total}." if kind == "count" else "; ".join(lines[:5]) or "Nothing found."
         spoken, risk = self.said(q, plain, lines)
@@ -208,8 +208,18 @@ class Engine:
         row = row.select(text.clean_answer(F.col("answer")).alias("answer"), "evidence")
         return tuple(row.select("answer", text.risk(F.col("answer"), F.col("evidence"))).first())
 
+    def alike(self) -> bool:
+        """Whether questions can be answered as a set: a generator or an embedder is asked for each alone."""
+        return self.generator is None and self.embed is None
+
+    def answered(self, asked: DataFrame) -> DataFrame:
+        """An answer for each row of ``asked(question)``, in jobs whose number doesn't grow with the questions. Without a generator and an embedder only."""
+        return together.answers(self, asked)
+
     def answers(self, asked: list[str]) -> DataFrame:
-        """A row for each question; one that fails has the error as its answer."""
+        """A row for each question. One by one, a question that fails has the error as its answer."""
+        if self.alike():
+            return self.answered(self.table.sparkSession.createDataFrame([(q,) for q in asked], "question string"))
         return self.timed(asked).drop("seconds")
 
     def timed(self, asked: list[str]) -> DataFrame:
@@ -225,6 +235,13 @@ class Engine:
         return self.table.sparkSession.createDataFrame(rows, "question string, operation string, answer string, support string, evidence_count long, fell_back boolean, risk string, seconds double")
 
     def evaluated(self, sheet: DataFrame) -> DataFrame:
-        """A sheet of questions with human answers, each with its answer, the F1 of both and the seconds it took. Sheets are written by people, so their questions fit the driver."""
-        asked = [r["question"] for r in sheet.select("question").distinct().orderBy("question").collect()]
-        return sheet.join(F.broadcast(self.timed(asked)), "question").withColumn("f1", F.coalesce(text.token_f1(F.col("answer"), F.col("human_answer")), F.lit(0.0)))
+        """A sheet of questions with human answers, each with its answer, the F1 of both and the seconds it took: as a set, its share of them."""
+        asked = sheet.select("question").distinct()
+        if self.alike():
+            begun = monotonic()
+            said = materialize(self.answered(asked), "answers")
+            spent, n = monotonic() - begun, said.count()
+            said = said.withColumn("seconds", F.lit(spent / max(n, 1)))
+        else:
+            said = self.timed([r["question"] for r in asked.orderBy("question").collect()])
+        return sheet.join(said, "question").withColumn("f1", F.coalesce(text.token_f1(F.col("answer"), F.col("human_answer")), F.lit(0.0)))

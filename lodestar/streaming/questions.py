@@ -13,13 +13,16 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.engine import Answer, Engine
 
 
-#: Questions that the driver holds at once.
+#: Questions that the driver holds at once, where each is asked of a generator or an embedder.
 SLICE = 500
 
 
 def answer_stream(questions: DataFrame, engine: Engine, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of ``questions(question)`` is answered slice by slice; a repeated batch overwrites its own slices."""
+    """Each micro-batch of ``questions(question)`` is answered as a set, or slice by slice where a generator or an embedder is asked; a repeated batch overwrites its own."""
     def batch(df: DataFrame, n: int) -> None:
+        if engine.alike():
+            engine.answered(df.select("question")).write.mode("overwrite").parquet(f"{path}/batch={n}/slice=0")
+            return
         asked = (r["question"] for r in df.select("question").toLocalIterator())
         for i, part in enumerate(batched(asked, SLICE)):
             engine.answers(list(part)).write.mode("overwrite").parquet(f"{path}/batch={n}/slice={i}")
