@@ -85,12 +85,11 @@ def match(q: str, index: dict[str, Column]) -> Matched:
     for c in (m for m in index.values() if m.filterable and m.match != "numeric"):
         kinds: dict[str, str] = {}
         for v in c.values:
-            words = token_set(v)
             if len(v) >= LEAST and v.lower() in low:
                 kinds[v] = c.match
             elif asked and is_tier_column(c.name) and any(re.search(rf"\btier\s*{t}\b", v.lower()) for t in asked):
                 kinds[v] = f"tier_{c.match}"
-            elif ("/" in q or asked) and words and (not asked or is_tier_column(c.name)) and (words - set(GENERIC) or words) <= spread:
+            elif ("/" in q or asked) and (words := token_set(v)) and (not asked or is_tier_column(c.name)) and (words - set(GENERIC) or words) <= spread:
                 kinds[v] = f"soft_{c.match}"
         for p in c.parts:
             if len(p) >= LEAST and p.lower() in low and p not in kinds:
@@ -117,12 +116,22 @@ def ngrams(q: str, longest: int = 6) -> list[str]:
 
 def live_values(q: str, index: dict[str, Column], longest: int = 6, top: int = 10, keep: Callable[[str, str], bool] | None = None) -> list[tuple[float, str, str, str]]:
     """``score, column, value, phrase`` of the columns and values that ``keep`` takes: 3 for the value itself, 2 for it but for spaces and slashes, 1 for a part; longer phrases first."""
+    grams = sorted(ngrams(q, longest), key=len)
+    whole, lows, flats = " ".join(re.findall(r"[A-Za-z0-9]+(?:/[A-Za-z0-9]+)*", q)).lower(), {}, {}
+    for g in grams:
+        lows.setdefault(g.lower(), g)
+        flats.setdefault(flat(g), g)
     out = []
     for c in (m for m in index.values() if m.filterable):
         for v in (x for x in c.values if keep is None or keep(c.name, x)):
-            scored = [(3 if g.lower() == v.lower() else 2 if flat(g) == flat(v) else 1 if len(v) >= LEAST and v.lower() in g.lower() else 0, g) for g in ngrams(q, longest)]
-            s, g = max(scored, key=lambda x: (x[0], -len(x[1])), default=(0, ""))
-            if s:
+            low = v.lower()
+            if g := lows.get(low):
+                s = 3
+            elif g := flats.get(flat(v)):
+                s = 2
+            elif len(v) >= LEAST and low in whole:
+                s, g = 1, next((g for g in grams if low in g.lower()), None)
+            if g:
                 out.append((s + len(v) / 100, c.name, v, g))
     return sorted(out, key=lambda x: (-x[0], x[1], x[2]))[:top]
 

@@ -600,3 +600,27 @@ def pipeline_answer(spark, d):
     kb = supplier_kb(spark, d)
     asked = ["Which county has the highest total employment?", "How many companies are there in Cat 1?", "Which roles are single point of failure?", "Show all Cat 2 companies"]
     return engine.Engine(kb).answers(asked)
+
+
+#: A question about suppliers before the text of each turn.
+ABOUT_SUPPLIERS = """(SELECT conv_id, turn, (conv_id + turn) % 4 AS kind, 'Cat ' || CAST(turn % 3 AS VARCHAR) AS cat, n_name || ' County' AS place FROM conversations JOIN nation ON n_nationkey = conv_id % 25)"""
+
+
+@query(f"""WITH k AS ({SUPPLIER_KB}), s AS (SELECT *, concat_ws(' | ', 'Company: ' || company, 'Category: ' || category, 'Updated Location: ' || updated_location, 'Ev Supply Chain Role: ' || ev_supply_chain_role, 'Employment: ' || CAST(round(employment, 6) AS VARCHAR)) AS line FROM k),
+a AS {ABOUT_SUPPLIERS}, places AS (SELECT trim(split_part(updated_location, ',', 2)) AS place, count(*) AS n FROM k GROUP BY 1), pairs AS (SELECT category AS cat, trim(split_part(updated_location, ',', 2)) AS place, count(*) AS n FROM k GROUP BY 1, 2), cats AS (SELECT category AS cat, count(*) AS n FROM k GROUP BY 1),
+counted AS (SELECT conv_id, turn, CASE WHEN places.n IS NULL THEN coalesce(cats.n, (SELECT count(*) FROM k)) ELSE coalesce(pairs.n, (SELECT count(*) FROM k)) END AS n, places.n IS NOT NULL AND pairs.n IS NULL AS fell_back FROM a LEFT JOIN places USING (place) LEFT JOIN cats USING (cat) LEFT JOIN pairs USING (cat, place) WHERE kind = 0),
+listed AS (SELECT category AS cat, array_to_string(list_slice(list(line ORDER BY _row_id), 1, 5), '; ') AS lines, least(count(*), 50) AS n FROM s GROUP BY 1), top AS (SELECT category AS cat, arg_min(line, (-employment, _row_id)) AS lines FROM s GROUP BY 1),
+summed AS (SELECT category AS cat, trim(split_part(updated_location, ',', 2)) AS place, sum(employment) AS total FROM k GROUP BY 1, 2), sums AS (SELECT cat, array_to_string(list_slice(list('Updated Location: ' || place || ' | Total Employment: ' || CAST(round(total, 6) AS VARCHAR) ORDER BY total DESC, place), 1, 5), '; ') AS lines, least(count(*), 50) AS n FROM summed GROUP BY 1)
+SELECT conv_id, turn, 'count' AS operation, 'There are ' || CAST(n AS VARCHAR) || '.' AS answer, CAST(1 AS BIGINT) AS evidence_count, fell_back FROM counted
+UNION ALL SELECT conv_id, turn, 'rank', lines, CAST(1 AS BIGINT), false FROM a JOIN top USING (cat) WHERE kind = 1 UNION ALL SELECT conv_id, turn, 'aggregate_sum', lines, CAST(n AS BIGINT), false FROM a JOIN sums USING (cat) WHERE kind = 2
+UNION ALL SELECT conv_id, turn, 'exhaustive_list', lines, CAST(n AS BIGINT), false FROM a JOIN listed USING (cat) WHERE kind = 3""")
+def answers_as_set(spark, d):
+    from .plans import engine
+
+    n, turns = table(spark, d, "nation"), table(spark, d, "conversations")
+    cat, place, kind = F.concat(F.lit("Cat "), F.col("turn") % 3), F.concat("n_name", F.lit(" County")), (F.col("conv_id") + F.col("turn")) % 4
+    q = F.when(kind == 0, F.concat(F.lit("How many companies are there in "), cat, F.lit(" in "), place, F.lit("? "), "text")).when(kind == 1, F.concat(F.lit("highest employment in "), cat, F.lit(" "), "text"))
+    q = q.when(kind == 2, F.concat(F.lit("total employment by county in "), cat, F.lit(" "), "text")).otherwise(F.concat(F.lit("Show all companies in "), cat, F.lit(" "), "text"))
+    asked = turns.join(n, n["n_nationkey"] == F.col("conv_id") % 25).select("conv_id", "turn", q.alias("question"))
+    said = engine.Engine(supplier_kb(spark, d)).answered(asked.select("question").distinct())
+    return asked.join(said, "question").select("conv_id", "turn", "operation", "answer", "evidence_count", "fell_back")
