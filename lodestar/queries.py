@@ -602,8 +602,8 @@ def pipeline_answer(spark, d):
     return engine.Engine(kb).answers(asked)
 
 
-#: A question about suppliers before the text of each turn.
-ABOUT_SUPPLIERS = """(SELECT conv_id, turn, (conv_id + turn) % 4 AS kind, 'Cat ' || CAST(turn % 3 AS VARCHAR) AS cat, n_name || ' County' AS place FROM conversations JOIN nation ON n_nationkey = conv_id % 25)"""
+#: A question about suppliers before the text of each turn. A text may hold a word for groups ("tier"), which makes a rank a sum; without a column for it, that sum is a list.
+ABOUT_SUPPLIERS = f"""(SELECT conv_id, turn, {operations.has_sql('text', operations.GROUP)} AS grouped, (conv_id + turn) % 4 AS kind, 'Cat ' || CAST(turn % 3 AS VARCHAR) AS cat, n_name || ' County' AS place FROM conversations JOIN nation ON n_nationkey = conv_id % 25)"""
 
 
 @query(f"""WITH k AS ({SUPPLIER_KB}), s AS (SELECT *, concat_ws(' | ', 'Company: ' || company, 'Category: ' || category, 'Updated Location: ' || updated_location, 'Ev Supply Chain Role: ' || ev_supply_chain_role, 'Employment: ' || CAST(round(employment, 6) AS VARCHAR)) AS line FROM k),
@@ -612,7 +612,7 @@ counted AS (SELECT conv_id, turn, CASE WHEN places.n IS NULL THEN coalesce(cats.
 listed AS (SELECT category AS cat, array_to_string(list_slice(list(line ORDER BY _row_id), 1, 5), '; ') AS lines, least(count(*), 50) AS n FROM s GROUP BY 1), top AS (SELECT category AS cat, arg_min(line, (-employment, _row_id)) AS lines FROM s GROUP BY 1),
 summed AS (SELECT category AS cat, trim(split_part(updated_location, ',', 2)) AS place, sum(employment) AS total FROM k GROUP BY 1, 2), sums AS (SELECT cat, array_to_string(list_slice(list('Updated Location: ' || place || ' | Total Employment: ' || CAST(round(total, 6) AS VARCHAR) ORDER BY total DESC, place), 1, 5), '; ') AS lines, least(count(*), 50) AS n FROM summed GROUP BY 1)
 SELECT conv_id, turn, 'count' AS operation, 'There are ' || CAST(n AS VARCHAR) || '.' AS answer, CAST(1 AS BIGINT) AS evidence_count, fell_back FROM counted
-UNION ALL SELECT conv_id, turn, 'rank', lines, CAST(1 AS BIGINT), false FROM a JOIN top USING (cat) WHERE kind = 1 UNION ALL SELECT conv_id, turn, 'aggregate_sum', lines, CAST(n AS BIGINT), false FROM a JOIN sums USING (cat) WHERE kind = 2
+UNION ALL SELECT conv_id, turn, 'rank', lines, CAST(1 AS BIGINT), false FROM a JOIN top USING (cat) WHERE kind = 1 AND NOT grouped UNION ALL SELECT conv_id, turn, 'aggregate_sum', lines, CAST(n AS BIGINT), false FROM a JOIN listed USING (cat) WHERE kind = 1 AND grouped UNION ALL SELECT conv_id, turn, 'aggregate_sum', lines, CAST(n AS BIGINT), false FROM a JOIN sums USING (cat) WHERE kind = 2
 UNION ALL SELECT conv_id, turn, 'exhaustive_list', lines, CAST(n AS BIGINT), false FROM a JOIN listed USING (cat) WHERE kind = 3""")
 def answers_as_set(spark, d):
     from .plans import engine
