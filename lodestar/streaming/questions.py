@@ -10,18 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.cleaning import dense_ids
 from ..plans.engine import Answer, Engine
 
 
-#: Questions that the driver holds at once, where each is asked of a generator or an embedder.
+#: Questions of a written slice; that many the driver holds at once, where each is asked of a generator or an embedder.
 SLICE = 500
 
 
 def answer_stream(questions: DataFrame, engine: Engine, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of ``questions(question)`` is answered as a set, or slice by slice where a generator or an embedder is asked; a repeated batch overwrites its own."""
+    """Each micro-batch of ``questions(question)`` is answered as a set and written in slices, or slice by slice where a generator or an embedder is asked; a repeated batch overwrites its own."""
     def batch(df: DataFrame, n: int) -> None:
         if engine.alike():
-            engine.answered(df.select("question")).write.mode("overwrite").parquet(f"{path}/batch={n}/slice=0")
+            said = dense_ids(engine.answered(df.select("question")), "question").withColumn("slice", F.expr(f"_row_id div {SLICE}")).drop("_row_id")
+            said.write.mode("overwrite").partitionBy("slice").parquet(f"{path}/batch={n}")
             return
         asked = (r["question"] for r in df.select("question").toLocalIterator())
         for i, part in enumerate(batched(asked, SLICE)):
