@@ -88,3 +88,13 @@ def test_numbers_are_shown_without_exponents(spark):
     assert [r[0] for r in df.select(together.line(df)).collect()] == ["A: 12345678.9 | B: 3", "A: 10.0", "A: 0.123457 | B: 1"]
     whole = spark.range(1).select(F.lit(20000000.0).alias("a"))
     assert whole.select(together.line(whole)).first()[0] == "A: 20000000.0"
+
+
+def test_a_part_of_a_word_tells_no_group(spark):
+    """"tion" stands in each "Nation 1", and is no word of it; "nation" is."""
+    rows = [(i, f"Company {i}", f"Nation {i % 2}", float(i)) for i in range(6)]
+    e = engine.Engine(spark.createDataFrame(rows, "_row_id long, company string, place string, employment double"))
+    asked = ["highest employment of tion tier", "highest employment of nation tier"]
+    part, whole = (r.answer for r in e.answers(asked).orderBy(F.col("question") != asked[0]).collect())
+    assert part.startswith("Company: Company 0 | Place: Nation 0") and whole.startswith("Place: Nation 1 | Total Employment: 9.0")
+    assert as_set(e, asked) == one_by_one(e, asked)
