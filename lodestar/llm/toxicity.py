@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +37,8 @@ LEAST = 3
 CONTEXTS, CHANCE = 16, (0.05, 0.5, 0.9, None)
 #: Terms remembered by a worker before it starts afresh; bounds its memory.
 REMEMBERED = 300_000
+#: Rows whose terms are weighed at once; bounds the driver's memory.
+AT_ONCE = 256
 
 
 def hashed(word: str) -> tuple[int, ...]:
@@ -81,16 +83,17 @@ class FactorizationMachine:
     slope: float = 1.0
     shift: float = 0.0
 
-    def margin(self, rows: list[list[int]]) -> np.ndarray:
-        flat, starts, full = _flat(rows)
+    def margin(self, rows: Sequence[Sequence[int]]) -> np.ndarray:
         out = np.full(len(rows), self.bias)
-        if len(flat):
-            f = self.factors[flat]
-            s, q = np.add.reduceat(f, starts, axis=0), np.add.reduceat(f * f, starts, axis=0)
-            out[full] += np.add.reduceat(self.weights[flat], starts) + 0.5 * (s * s - q).sum(axis=1)
+        for at in range(0, len(rows), AT_ONCE):
+            flat, starts, full = _flat(rows[at : at + AT_ONCE])
+            if len(flat):
+                f = self.factors[flat]
+                s, q = np.add.reduceat(f, starts, axis=0), np.add.reduceat(f * f, starts, axis=0)
+                out[at : at + AT_ONCE][full] += np.add.reduceat(self.weights[flat], starts) + 0.5 * (s * s - q).sum(axis=1)
         return out
 
-    def score(self, rows: list[list[int]]) -> np.ndarray:
+    def score(self, rows: Sequence[Sequence[int]]) -> np.ndarray:
         return _logistic(self.slope * self.margin(rows) + self.shift)
 
 
@@ -98,9 +101,12 @@ def _logistic(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(rows: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of all rows end to end in 32 bits, where those of each full row begin, and which rows are full."""
     lengths = np.array([len(r) for r in rows], np.int64)
-    flat = np.fromiter((x for r in rows for x in r), np.int64, int(lengths.sum()))
+    flat = np.empty(int(lengths.sum()), np.int32)
+    for start, r in zip((np.cumsum(lengths) - lengths).tolist(), rows, strict=True):
+        flat[start : start + len(r)] = r
     full = lengths > 0
     return flat, (np.cumsum(lengths) - lengths)[full], full
 
@@ -108,10 +114,9 @@ def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Rows:
     """The terms of rows end to end, as places among ``size`` weights; terms without a place are left out."""
 
-    def __init__(self, rows: list[list[int]], slots: np.ndarray):
-        flat, _, _ = _flat(rows)
-        of, place = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), slots[flat]
-        self.place, self.count, self.size = place[place >= 0], np.bincount(of[place >= 0], minlength=len(rows)), int(slots.max(initial=-1)) + 1
+    def __init__(self, rows: Sequence[Sequence[int]], slots: np.ndarray):
+        mine = [p[p >= 0] for p in (slots[np.asarray(r, np.int32)] for r in rows)]
+        self.place, self.count, self.size = _flat(mine)[0], np.array([len(p) for p in mine], np.int64), int(slots.max(initial=-1)) + 1
         self.start = np.cumsum(self.count) - self.count
 
     def batch(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,21 +179,25 @@ def _unlikely(n: np.ndarray, k: np.ndarray, share: float) -> np.ndarray:
     return np.minimum(0, np.log(2) - n * far)
 
 
-def telling(rows: list[list[int]], y: np.ndarray, chances: tuple[float, ...]) -> list[np.ndarray]:
+def telling(rows: Sequence[Sequence[int]], y: np.ndarray, chances: tuple[float, ...]) -> list[np.ndarray]:
     """The terms that go with a label more often than chance, alone or beside or without a strong term; of the tests passed about each of ``chances`` are chance (Benjamini-Hochberg)."""
     flat, _, _ = _flat(rows)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    terms, place = np.unique(flat, return_inverse=True)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    held = np.bincount(flat, minlength=BUCKETS)
+    terms = np.flatnonzero(held)
+    place = (np.cumsum(held > 0, dtype=np.int32) - 1)[flat]
+    del flat
 
     def tests(mine: np.ndarray) -> np.ndarray:
         share, at = y[mine].mean() if mine.any() else 0.0, mine[of]
         if not 0 < share < 1:
             return np.zeros(len(terms))
         n = np.bincount(place[at], minlength=len(terms))
-        return np.where(n >= LEAST, _unlikely(n, np.bincount(place[at], y[of[at]], len(terms)), share), 0.0)
+        return np.where(n >= LEAST, _unlikely(n, np.bincount(place[at & bad], minlength=len(terms)), share), 0.0)
 
+    bad = (y == 1)[of]
     alone = tests(np.ones(len(rows), bool))
-    held = np.bincount(place, minlength=len(terms))
+    held = held[terms]
     strong = [c for c in np.argsort(alone, kind="stable")[:CONTEXTS] if alone[c] < -10 and held[c] >= 0.01 * len(rows)]
     beside = []
     for c in strong:
@@ -215,7 +224,7 @@ def _curve(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, f
     return (float(a[0]), float(a[1])) if a[0] > 0 else (1.0, 0.0)
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, terms: int, factors: int, steps: int = 1200) -> FactorizationMachine:
+def fit(rows: Sequence[Sequence[int]], labels: np.ndarray, terms: int, factors: int, steps: int = 1200) -> FactorizationMachine:
     """The machine of a sample; ``steps`` batches at least are taken in the first fit, twice as many in the second."""
     y = np.asarray(labels, float)
     prior = (y.sum() + 0.5) / (len(y) + 1)
@@ -235,11 +244,12 @@ def fit(rows: list[list[int]], labels: np.ndarray, terms: int, factors: int, ste
         x = Rows(mine, slots)
         return FactorizationMachine(slots, *_descend(x, y[~out], factors, passes, alone)), x
 
-    def placed(model: FactorizationMachine, which: np.ndarray) -> list[list[int]]:
-        return [[s for s in model.slots[rows[i]].tolist() if s >= 0] if rows[i] else [] for i in np.flatnonzero(which)]
+    def placed(model: FactorizationMachine, which: np.ndarray) -> list[np.ndarray]:
+        return [p[p >= 0] for p in (model.slots[np.asarray(rows[i], np.int32)] for i in np.flatnonzero(which))]
 
     first, x = fitted(known, passes, passes // 2)
     moved = known[np.argsort(-_moved(x, first.weights, first.factors), kind="stable")[:terms]]
+    del first, x
     trial = np.arange(len(y)) % 10 == 4
     best, least, size = None, np.inf, 0
     for more in [*telling(mine, y[~out], tuple(c for c in CHANCE if c)), *([known] if None in CHANCE else [])]:
@@ -267,8 +277,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = 12_000
             yield pd.DataFrame({"doc_id": part["doc_id"], "terms": [of(x) for x in part["text"]], "label": part["label"]})
 
     sample = labelled_sample(docs, labels, "toxic", usable, rows)
-    got = sample.mapInPandas(terms_of, "doc_id long, terms array<int>, label int").toPandas().sort_values("doc_id")
-    return fit([list(x) for x in got["terms"]], got["label"].to_numpy(), terms, factors)
+    got = sample.mapInPandas(terms_of, "doc_id long, terms array<int>, label int").toArrow().combine_chunks()
+    ids, held, labels_ = (got[c].combine_chunks() for c in got.column_names)
+    flat, edges = held.values.to_numpy(), held.offsets.to_numpy()
+    order = np.argsort(ids.to_numpy(), kind="stable")
+    return fit([flat[edges[i] : edges[i + 1]] for i in order.tolist()], labels_.to_numpy()[order], terms, factors)
 
 
 def scores(docs: DataFrame, model: FactorizationMachine, text: str = "text") -> DataFrame:

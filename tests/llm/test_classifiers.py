@@ -170,3 +170,12 @@ def test_rare_insults_that_are_toxic_beside_a_group_only(kinds, least):
     order = np.argsort(np.argsort(score, kind="stable"), kind="stable") + 1
     auc = (order[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
     assert auc >= least, auc
+
+
+def test_toxicity_fits_rows_in_compact_arrays():
+    """The driver holds the sample as slices of one array, not as lists of numbers; the machine is the same."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 60, 8)).astype(np.int32) for _ in range(200)] + [np.zeros(0, np.int32)]
+    y = np.array([float(7 in r) for r in rows])
+    packed, listed = toxicity.fit(rows, y, 20, 2, 50), toxicity.fit([r.tolist() for r in rows], y, 20, 2, 50)
+    assert np.array_equal(packed.slots, listed.slots) and np.allclose(packed.weights, listed.weights)
