@@ -11,7 +11,7 @@ Defined results: a null text, and one without words, has fingerprint zero and is
 Repeated rows and equal texts share a fingerprint; only distinct fingerprints are joined.
 A null doc_id is kept in its row and never becomes a component's id unless the component has no other.
 An empty table gives an empty result. Extra columns are kept; names that clash with the added ones are
-replaced.
+replaced. Joins are merges, so that nothing that grows with the documents is broadcast by the driver.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def links(fps: DataFrame) -> DataFrame:
     index = fps.mapInPandas(_index_keys, "key long, fp long")
     probe = fps.mapInPandas(_probe_keys, "key long, probe long")
     near = (F.col("fp") < F.col("probe")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("probe"))) <= 3)
-    return index.join(probe, (index["key"] == probe["key"]) & near).select(F.col("fp").alias("a"), F.col("probe").alias("b")).distinct()
+    return index.join(probe.hint("merge"), (index["key"] == probe["key"]) & near).select(F.col("fp").alias("a"), F.col("probe").alias("b")).distinct()
 
 
 def components(fps: DataFrame) -> DataFrame:
@@ -103,10 +103,10 @@ def components(fps: DataFrame) -> DataFrame:
     """
     least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
     roots = materialize(connected_components(links(least.select("fp"))).select(F.col("node").alias("fp"), "root"), "roots")
-    least_of_root = roots.join(least, "fp").groupBy("root").agg(F.min("least").alias("least_of_root"))
-    named = roots.join(least_of_root, "root").select("fp", "root", "least_of_root")
+    least_of_root = roots.join(least.hint("merge"), "fp").groupBy("root").agg(F.min("least").alias("least_of_root"))
+    named = roots.join(least_of_root.hint("merge"), "root").select("fp", "root", "least_of_root")
     return materialize(
-        least.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least_of_root", "least").alias("component_id")),
+        least.join(named.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least_of_root", "least").alias("component_id")),
         "component",
     )
 
@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """``doc_id, fp, component_id`` of every row; component_id is the smallest doc_id reachable over links."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fps = materialize(fingerprints(narrow, "text", width).select("doc_id", "fp"), "fps")
-    return fps.join(components(fps), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(components(fps).hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3) -> DataFrame:
@@ -126,6 +126,6 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     tagged = materialize(fingerprints(docs, text, width).withColumn("simhash_row", F.monotonically_increasing_id()), "tagged")
     fps = tagged.select(F.col(doc_id).alias("doc_id"), "fp", "simhash_row")
     first = F.min_by("simhash_row", F.struct(F.col("doc_id").isNull(), "doc_id", "simhash_row"))
-    kept = fps.join(components(fps), "fp").groupBy("root").agg(first.alias("simhash_row")).select("simhash_row")
-    out = tagged.join(kept, "simhash_row", "left_semi").drop("simhash_row", "fp")
+    kept = fps.join(components(fps).hint("merge"), "fp").groupBy("root").agg(first.alias("simhash_row")).select("simhash_row")
+    out = tagged.join(kept.hint("merge"), "simhash_row", "left_semi").drop("simhash_row", "fp")
     return out.withColumnsRenamed({f"kept {c}": c for c in clash})

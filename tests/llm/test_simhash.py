@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestar.llm import golay, queries, simhash
 from lodestar.llm.common import connected_components
@@ -86,3 +87,11 @@ def test_components_of_a_path(spark, size):
     edges = spark.createDataFrame(list(zip(nodes, nodes[1:])) + [(1000, 1001), (2000, 2000)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == ({n: 0 for n in nodes} if size > 1 else {}) | {1000: 1000, 1001: 1000, 2000: 2000}
+
+
+def test_nothing_that_grows_with_the_documents_is_broadcast(spark):
+    """Small tables here; at 0.5 GB the driver's 750 MB didn't hold what it gathered and sent."""
+    docs = table(spark, [prose(i % 3, 20) for i in range(9)])
+    for found in (simhash.near_duplicates(docs), simhash.keep_one(docs), simhash.links(docs.select(F.col("doc_id").alias("fp")))):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert simhash.keep_one(docs).count() == 3
