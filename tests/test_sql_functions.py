@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodestar import queries
 from lodestar.functions import cleaning, sql, text, variants
 from lodestar.operators import chunks
 
@@ -37,3 +38,17 @@ def test_variants(spark, tmp_path):
         got = held.orderBy("id").select(variants.at("v", "$.k", "int"), variants.at("v", "$.k"), variants.at("v", "$.o.p[1]", "double"), variants.holds("v", ["k"]), variants.holds("v", ["k", "s"]), F.col("v").isNull()).collect()
         assert [tuple(r) for r in got] == [(1, "1", 2.5, True, True, False), (None, "one", None, True, False, False), (None, None, None, False, False, False), *[(None, None, None, False, False, True)] * 3]
     assert "k" in variants.shape(df.where("id = 0"), "v") and variants.shape(df.limit(0), "v") is not None
+
+
+def test_ngrams_in_sql_shuffles_texts_not_their_ngrams(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "a b a b"), (1, 1, "c"), (2, 0, None)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = queries.QUERIES["ngrams_in_sql"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and plan.index("Generate") < plan.index("Exchange")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 7, 4), (1, 1, 1, 1)]
+
+
+def test_ngrams_find_the_words_once_a_text(spark):
+    df = spark.createDataFrame([("Ab cd ef",), ("",), (None,)], "q string").select(text.question_ngrams(F.col("q"), 2).alias("g"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r.g for r in df.collect()] == [["Ab cd", "cd ef"], [], []]
