@@ -67,3 +67,10 @@ def test_live_values_by_a_predicate():
     index = {c: Column(c, "exact", values=values) for c, values in (("company", ("Acme", "Beta")), ("category", ("Acme parts",)))}
     assert [(c, v) for _, c, v, _ in matcher.live_values("Acme parts of Beta", index)] == [("category", "Acme parts"), ("company", "Acme"), ("company", "Beta")]
     assert [v for *_, v, _ in matcher.live_values("Acme parts of Beta", index, keep=lambda c, v: c == "company" and v != "Beta")] == ["Acme"]
+
+
+def test_slices_are_bounded_by_the_letters_of_their_texts(spark):
+    texts = spark.createDataFrame([(i, "Red and blue " * (i + 1)) for i in range(6)] + [(9, None)], "id long, q string")
+    values = spark.createDataFrame([("RED",), ("blue",), ("green",), (None,)], "value string")
+    got = automaton.holders(texts, values, letters=20)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, v) for i in range(6) for v in ("RED", "blue"))
