@@ -52,3 +52,10 @@ def test_ngrams_find_the_words_once_a_text(spark):
     df = spark.createDataFrame([("Ab cd ef",), ("",), (None,)], "q string").select(text.question_ngrams(F.col("q"), 2).alias("g"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert [r.g for r in df.collect()] == [["Ab cd", "cd ef"], [], []]
+
+
+def test_words_of_long_texts_are_those_of_answers(spark):
+    texts = ["", None, "a bc Def", "Tier_1/2 of\n\tACME-Corp. 2024 2024", "\u212aelvin \u0130stanbul \u00c9cole na\u00efve abc\u00e9def", "xx " * 50, " ".join(f"w{i} W{i}!" for i in range(3000))]
+    both = spark.createDataFrame([(t,) for t in texts], "t string").select(text.answer_words(F.col("t")).alias("a"), text.long_answer_words(F.col("t")).alias("b"))
+    for r in both.collect():
+        assert r.a == r.b
