@@ -6,8 +6,10 @@ score each by its format and by the words around it; a threshold for each kind,
 haven't seen, picks those to add. Of overlapping ones the likeliest stays, and none may touch a base span.
 
 No labels exist for this, so documents label themselves (``document_examples``): a base span rewritten in a looser format, in its own
-surroundings, is personal data; what is proposed in a document without any base span is not. At most ``rows`` documents are drawn for that,
-four fifths of them to fit and one fifth to calibrate. Seeded sentences (``examples``) are added, for formats that the documents lack; a kind
+surroundings, is personal data; what is proposed in a document without any base span is not. Every document takes part, four fifths of them to
+fit and one fifth to calibrate. Features fall into fixed bins (``CUTS``), so examples with equal bins are one row with two counts; trees and thresholds
+are made from these counts, whose sums are whole numbers and don't hang on their order. Up to ``MOST`` such rows the driver sums them, more are summed by
+a job for each level of a tree. Seeded sentences (``examples``) are added, for formats that the documents lack; a kind
 of which the calibrating documents hold fewer than ``FEW`` is calibrated on sentences.
 
 Defined results: a null text counts as empty and has no spans; repeated rows have equal spans; positions are code points of the whole text, ends
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns
-from .labelled import drawn
+from .common import drop, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -170,56 +172,138 @@ def examples(n: int, seed: int) -> Iterator[tuple[str, str, int, int, int]]:
         yield text, kind, len(before), len(before) + len(x), good
 
 
+DEPTH, WIDTH, FEW = 3, 29, 20
+#: Rows of counts that the driver sums itself.
+MOST = 200_000
+#: Gradients are summed as whole numbers of this part of one.
+SCALE = 1 << 20
+_COUNTS = [*range(25), 28, 32, 40, 48, 64]
+#: Where each feature may be split; those not named are 0 or 1.
+CUTS = [np.array({4: _COUNTS, 5: _COUNTS, 6: [k / 16 for k in range(16)], 7: _COUNTS[:16], 8: _COUNTS, 9: _COUNTS[:17], 18: [*_COUNTS, 100, 255, 999, 9999], 28: range(12)}.get(j, [0]), float) for j in range(WIDTH)]
+BINS = max(map(len, CUTS)) + 1
+IS_CUT = np.arange(BINS) < np.array([len(c) for c in CUTS])[:, None]
+LIMITS = np.arange(0.5, 0.99, 0.01)
+
+
+def binned(x: np.ndarray) -> np.ndarray:
+    """The bin of each feature: how many of its cuts are below it."""
+    return np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(CUTS)], axis=1).astype(np.uint8)
+
+
+def leaf(x: np.ndarray, columns: np.ndarray, limits: np.ndarray, depth: int) -> np.ndarray:
+    """The node that each row of ``x`` reaches in each tree after ``depth`` steps, counted within its level."""
+    node, rows, trees = np.zeros((len(x), len(columns)), np.int64), np.arange(len(x))[:, None], np.arange(len(columns))
+    for _ in range(depth):
+        node = 2 * node + 1 + (x[rows, columns[trees, node]] > limits[trees, node])
+    return node - (2**depth - 1)
+
+
 @dataclass
 class Trees:
-    """Boosted trees of depth ``DEPTH``: in level order the split's column and value, then the leaves."""
+    """Boosted trees of depth ``DEPTH``: in level order the split's column and cut, by number and by value, then the leaves."""
 
     bias: float
     columns: np.ndarray
+    cuts: np.ndarray
     values: np.ndarray
     leaves: np.ndarray
     thresholds: dict[str, float]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        margin, rows = np.full(len(x), self.bias), np.arange(len(x))
-        for columns, values, leaves in zip(self.columns, self.values, self.leaves, strict=True):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (x[rows, columns[node]] > values[node])
-            margin += leaves[node - len(columns)]
-        return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        return _logistic(self.bias + self.margin(x, self.values))
 
+    def margin(self, x: np.ndarray, limits: np.ndarray, first: int = 0) -> np.ndarray:
+        """The sum of the trees from ``first`` on, of features by ``values`` or of bins by ``cuts``."""
+        leaves = self.leaves[first:]
+        return leaves[np.arange(len(leaves)), leaf(x, self.columns[first:], limits[first:], DEPTH)].sum(axis=1)
 
-DEPTH, WIDTH, FEW = 3, 29, 20
+
+def _logistic(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+
+
+class Counted:
+    """Examples by their bins: how many there are, and how many of them are personal data. All its sums are whole numbers."""
+
+    def __init__(self, bins: np.ndarray, n: np.ndarray, good: np.ndarray):
+        self.bins, self.n, self.good = bins, n, good
+        self.margin, self.trees = np.zeros(len(n)), 0
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame) -> Counted:
+        bins = np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(len(rows), WIDTH)
+        return cls(bins, rows["n"].to_numpy(np.int64), rows["good"].to_numpy(np.int64))
+
+    def totals(self) -> np.ndarray:
+        return np.array([self.n.sum(), self.good.sum()])
+
+    def _probability(self, trees: Trees) -> np.ndarray:
+        if self.trees < len(trees.leaves):
+            self.margin += trees.margin(self.bins, trees.cuts, self.trees)
+            self.trees = len(trees.leaves)
+        return _logistic(trees.bias + self.margin)
+
+    def sums(self, trees: Trees, columns: np.ndarray, cuts: np.ndarray, level: int) -> np.ndarray:
+        """Gradients and curvatures of the loss by node of the next tree's ``level``, feature and bin."""
+        p = self._probability(trees)
+        at = (leaf(self.bins, columns, cuts, level) * WIDTH + np.arange(WIDTH)) * BINS + self.bins
+        size = 2**level * WIDTH * BINS
+        of = lambda w: np.bincount(at.ravel(), np.repeat(np.rint(w * SCALE), WIDTH), size).astype(np.int64)
+        return np.stack([of(self.n * p - self.good), of(self.n * p * (1 - p))]).reshape(2, 2**level, WIDTH, BINS)
+
+    def picked(self, trees: Trees, limits: np.ndarray) -> np.ndarray:
+        """By kind and by each of its ``limits``: how many examples reach it, and how many of them are personal data."""
+        p, kind = self._probability(trees), self.bins[:, : len(KINDS)].argmax(axis=1) if len(self.n) else np.zeros(0, int)
+        reach = lambda k, t: (kind == k) & (p >= t)
+        return np.array([[[self.n[at].sum(), self.good[at].sum()] for at in (reach(k, t) for t in own)] for k, own in enumerate(limits)])
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2, ridge: float = 1.0) -> Trees:
+class Spread:
+    """The same sums of more rows than the driver takes: each task sums its own, the driver adds an array a task."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def _sum(self, of, *args) -> np.ndarray:
+        def own(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = sum(of(Counted.of(part), *args) for part in parts if len(part))
+            if isinstance(total, np.ndarray):
+                yield pd.DataFrame({"sums": [total.astype(np.int64).tobytes()]})
+
+        like = of(Counted(np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)), *args).astype(np.int64)
+        return sum((np.frombuffer(r.sums, np.int64).reshape(like.shape) for r in self.table.mapInPandas(own, "sums binary").collect()), like)
+
+    def totals(self) -> np.ndarray:
+        return self._sum(Counted.totals)
+
+    def sums(self, *args) -> np.ndarray:
+        return self._sum(Counted.sums, *args)
+
+    def picked(self, *args) -> np.ndarray:
+        return self._sum(Counted.picked, *args)
+
+
+def fit(parts: list[Counted | Spread], rounds: int = 60, rate: float = 0.2, ridge: float = 1.0) -> Trees:
     """Second-order boosting of the logistic loss; every node takes the split of most gain."""
-    p = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-    bias = float(np.log(p / (1 - p)))
-    margin = np.full(len(y), bias)
-    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 17)))[:-1] for c in x.T]
-    over = [(j, v, x[:, j] > v) for j, cut in enumerate(cuts) for v in cut]
-    sides = np.array([o[2] for o in over], float)
-    trees = []
+    n, good = sum(p.totals() for p in parts)
+    share = float(np.clip(good / n if n else 0.5, 1e-3, 1 - 1e-3))
+    inner = 2**DEPTH - 1
+    trees = Trees(float(np.log(share / (1 - share))), np.zeros((0, inner), int), np.zeros((0, inner), int), np.zeros((0, inner)), np.zeros((0, inner + 1)), {})
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
-        node, columns, values = np.zeros(len(y), np.int64), [], []
-        for n in range(2**DEPTH - 1):
-            at = node == n
-            gn, hn = np.where(at, g, 0), np.where(at, h, 0)
-            gr, hr, gs, hs = sides @ gn, sides @ hn, gn.sum(), hn.sum()
-            gain = gr**2 / (hr + ridge) + (gs - gr) ** 2 / (hs - hr + ridge)
-            best = int(np.argmax(gain))
-            columns.append(over[best][0])
-            values.append(over[best][1])
-            node[at] = 2 * n + 1 + over[best][2][at]
-        leaf = node - (2**DEPTH - 1)
-        value = np.array([-rate * g[leaf == k].sum() / (h[leaf == k].sum() + ridge) for k in range(2**DEPTH)])
-        margin += value[leaf]
-        trees.append((columns, values, value))
-    return Trees(bias, *(np.array(t) for t in zip(*trees, strict=True)), {})
+        columns, cuts, values, leaves = np.zeros((1, inner), int), np.zeros((1, inner), int), np.zeros((1, inner)), np.zeros((1, inner + 1))
+        for level in range(DEPTH):
+            g, h = sum(p.sums(trees, columns, cuts, level) for p in parts) / SCALE
+            gs, hs = g.sum(axis=2, keepdims=True), h.sum(axis=2, keepdims=True)
+            gl, hl = g.cumsum(axis=2), h.cumsum(axis=2)
+            gain = np.where(IS_CUT, gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge), -1.0)
+            for node, best in enumerate(gain.reshape(2**level, -1).argmax(axis=1).tolist()):
+                at, (c, j) = 2**level - 1 + node, divmod(best, BINS)
+                columns[0, at], cuts[0, at], values[0, at] = c, j, CUTS[c][j]
+                if level == DEPTH - 1:
+                    left, right = (gl[node, c, j], hl[node, c, j]), (gs[node, c, 0] - gl[node, c, j], hs[node, c, 0] - hl[node, c, j])
+                    leaves[0, 2 * node : 2 * node + 2] = [-rate * a / (b + ridge) for a, b in (left, right)]
+        trees = Trees(trees.bias, *(np.concatenate(x) for x in ((trees.columns, columns), (trees.cuts, cuts), (trees.values, values), (trees.leaves, leaves))), {})
+    return trees
 
 
 def loosened(kind: str, span: str, pick: int) -> str:
@@ -251,62 +335,69 @@ def document_examples(text: str) -> Iterator[tuple[str, str, int, int, int]]:
                     yield changed, k, s, e, int(k == kind and shared >= 0.8 * max(e - s, len(new)))
 
 
-Examples = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
-def _measured(rows: list[tuple[str, str, int, int, int]]) -> Examples:
+def _made(n: int, seed: int) -> Counted:
+    rows = list(examples(n, seed))
     x = np.array([features(*r[:4]) for r in rows], float).reshape(len(rows), WIDTH)
-    return x, np.array([r[4] for r in rows], float), np.array([KINDS.index(r[1]) for r in rows], int)
+    return Counted(binned(x), np.ones(len(rows), np.int64), np.array([r[4] for r in rows], np.int64))
 
 
-def from_documents(docs: DataFrame, rows: int, text: str = "text", doc_id: str = "doc_id") -> tuple[Examples, Examples]:
-    """The examples of at most ``rows`` documents, the same in every run, to fit and to calibrate."""
-    whole = docs.where(F.length(text) > 0).select(F.xxhash64(F.col(doc_id), F.col(text)).alias("place"), F.col(text).alias("text"))
-    sample = drawn(whole, F.col("place"), rows)
+def counted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``bins, out, n, good`` of the examples of all documents, a written table; those of a fifth of the documents, the same in every run, are ``out``."""
+    place = F.xxhash64(F.col(doc_id), F.col(text))
+    whole = docs.where(F.length(text) > 0).select((F.pmod(place, F.lit(5)) == 0).alias("out"), F.col(text).alias("text"))
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = [(int(p) % 5 == 0, KINDS.index(e[1]), features(*e[:4]), e[4]) for t, p in zip(part["text"], part["place"], strict=True) for e in document_examples(t)]
-            yield pd.DataFrame(found, columns=["out", "kind", "x", "label"])
+            found = [(out, e[4], features(*e[:4])) for t, out in zip(part["text"], part["out"], strict=True) for e in document_examples(t)]
+            bins = binned(np.array([f[2] for f in found], float).reshape(len(found), WIDTH))
+            rows = pd.DataFrame({"bins": [b.tobytes() for b in bins], "out": [f[0] for f in found], "good": [f[1] for f in found]})
+            yield rows.groupby(["bins", "out"])["good"].agg(["size", "sum"]).reset_index()
 
-    got = sample.mapInPandas(of, "out boolean, kind int, x array<double>, label int").toPandas()
-    x, y, kind, out = np.array([list(v) for v in got["x"]], float).reshape(len(got), WIDTH), got["label"].to_numpy(float), got["kind"].to_numpy(int), got["out"].to_numpy(bool)
-    return (x[~out], y[~out], kind[~out]), (x[out], y[out], kind[out])
+    one = whole.mapInPandas(of, "bins binary, out boolean, size long, sum long")
+    return materialize(one.groupBy("bins", "out").agg(F.sum("size").alias("n"), F.sum("sum").alias("good")), "counted")
 
 
-def trained(fitted: Examples, other: Examples, sentences: int, precision: float, seed: int) -> Trees:
-    """Trees fitted to examples and ``sentences`` made ones; each kind's threshold is the least at which the others come to ``precision``."""
-    made, spare = (_measured(list(examples(n, s))) for n, s in ((sentences, seed), (sentences // 2, seed + 1)))
-    trees = fit(*(np.concatenate([a, b]) for a, b in zip(fitted[:2], made[:2], strict=True)))
-    for n, kind in enumerate(KINDS):
-        x, y, k = other if (other[1][other[2] == n] == 1).sum() >= FEW else spare
-        p, y = trees.probability(x[k == n]), y[k == n]
-        fine = [t for t in np.arange(0.5, 0.99, 0.01) if (p >= t).any() and y[p >= t].mean() >= precision]
-        trees.thresholds[kind] = float(min(fine, default=0.99))
-    return trees
+def from_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, Counted | Spread, Counted | Spread]:
+    """The written counts of all documents' examples, those to fit and those to calibrate."""
+    table = counted(docs, text, doc_id)
+    sides = [table.where(~F.col("out")), table.where("out")]
+    few = table.count() <= MOST
+    return table, *(Counted.of(side.toPandas()) if few else Spread(side) for side in sides)
 
 
-NONE: Examples = (np.zeros((0, WIDTH)), np.zeros(0), np.zeros(0, int))
+def trained(fitted: list[Counted | Spread], other: Counted | Spread | None, sentences: int, precision: float, seed: int) -> Trees:
+    """Trees fitted to examples and ``sentences`` made ones; each kind's threshold is the least at which the others come to ``precision``."""
+    made, spare = (_made(n, s) for n, s in ((sentences, seed), (sentences // 2, seed + 1)))
+    trees = fit([*fitted, made])
+    limits = np.tile([0.0, *LIMITS], (len(KINDS), 1))
+    of_sentences = spare.picked(trees, limits)
+    of_documents = other.picked(trees, limits) if other else np.zeros_like(of_sentences)
+    for kind, own, made_up in zip(KINDS, of_documents, of_sentences, strict=True):
+        n, good = (own if own[0, 1] >= FEW else made_up)[1:].T
+        trees.thresholds[kind] = float(min(LIMITS[(n > 0) & (good >= precision * n)], default=0.99))
+    return trees
 
 
 @cache
 def model(n: int = 4_000, precision: float = 0.98, seed: int = 5) -> Trees:
     """Fitted to made sentences alone, for texts of which there are no documents to learn from."""
-    return trained(NONE, NONE, n, precision, seed)
+    return trained([], None, n, precision, seed)
 
 
-def train(docs: DataFrame, text: str = "text", rows: int = 20_000, sentences: int = 2_000, precision: float = 0.98, seed: int = 5) -> Trees:
-    """Fitted to at most ``rows`` documents and to ``sentences``."""
-    return trained(*from_documents(docs, rows, text), sentences, precision, seed)
+def train(docs: DataFrame, text: str = "text", sentences: int = 2_000, precision: float = 0.98, seed: int = 5) -> Trees:
+    """Fitted to all documents and to ``sentences``."""
+    table, fitted, other = from_documents(docs, text)
+    trees = trained([fitted], other, sentences, precision, seed)
+    drop(table)
+    return trees
 
 
-def held_out(docs: DataFrame, trees: Trees, rows: int = 20_000) -> dict[str, tuple[float, float, int]]:
+def held_out(docs: DataFrame, trees: Trees) -> dict[str, tuple[float, float, int]]:
     """By kind: precision and recall on the calibrating documents' candidates, and the number that are personal data."""
-    x, y, kind = from_documents(docs, rows)[1]
-    p = trees.probability(x)
-    picked = p >= np.array([trees.thresholds[k] for k in KINDS])[kind]
-    of = lambda n: (kind == n, (kind == n) & picked, (kind == n) & (y == 1))
-    return {k: (float(y[hit].mean()) if hit.any() else 1.0, float(picked[good].mean()) if good.any() else 1.0, int(good.sum())) for n, k in enumerate(KINDS) for _, hit, good in [of(n)]}
+    table, _, other = from_documents(docs)
+    got = other.picked(trees, np.array([[0.0, trees.thresholds[k]] for k in KINDS])).tolist()
+    drop(table)
+    return {k: (hits / n if n else 1.0, hits / good if good else 1.0, good) for k, ((_, good), (n, hits)) in zip(KINDS, got, strict=True)}
 
 
 def added_spans(text: str, base: dict[str, list[Span]], trees: Trees) -> dict[str, list[Span]]:

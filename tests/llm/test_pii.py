@@ -6,6 +6,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lodestar.llm import pii, queries
 
 from .tables import odd, odd_rows, prose, table
@@ -116,6 +118,27 @@ def test_trees_learn_from_documents_and_add_spans_to_others(spark):
     assert hits >= 160, hits
 
 
+def test_every_document_is_learnt_from(spark):
+    """More documents than any sample held: all those set aside are calibrated on."""
+    docs = spark.range(0, 24_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("mail jo"), "id", F.lit("@example.org now")).alias("text"))
+    aside = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(5)) == 0).count()
+    assert pii.held_out(docs, pii.model())["email"][2] == aside > 4_500
+    sums = pii.counted(docs).groupBy("out").agg(F.sum("good").alias("good")).collect()
+    assert {r.out: r.good for r in sums} == {True: aside, False: 24_000 - aside}
+
+
+def test_tasks_sum_as_the_driver_does(spark, monkeypatch):
+    docs = table(spark, [f"{prose(i, 9)} {('a@b.org', '10.2.3.4', '+1 (988) 555-2485', '2024-05-17 10:22', '555 0123 456')[i % 5]} {prose(i + 900, 9)}" for i in range(200)])
+    _, *own = pii.from_documents(docs)
+    monkeypatch.setattr(pii, "MOST", 0)
+    _, *spread = pii.from_documents(docs)
+    assert isinstance(own[0], pii.Counted) and isinstance(spread[0], pii.Spread)
+    a, b = (pii.fit([x[0]], rounds=3) for x in (own, spread))
+    assert a.bias == b.bias and all((getattr(a, n) == getattr(b, n)).all() for n in ("columns", "cuts", "values", "leaves")) and len(a.leaves) == 3
+    limits = np.full((4, 2), [0.0, 0.5])
+    assert (own[1].picked(a, limits) == spread[1].picked(a, limits)).all() and own[1].picked(a, limits).sum() > 0
+
+
 def test_query_on_odd_rows(spark, tmp_path):
     docs = odd(spark, [*odd_rows(), (20, "🙂 a@b.c, 1.2.3.4 and +1 (988) 555-2485; 4041894974608795", "en", "a", 1)])
     docs.write.parquet(f"{tmp_path}/documents.parquet")
