@@ -12,9 +12,9 @@ don't make a task of their own size. Each task writes one file through ``pyarrow
 name of its own and returns the lines of its seek table. The lines that Spark commits are the manifest: a task that is lost or run
 twice leaves a file that no manifest names. Tokens before a file are summed over one row a file.
 
-Words are looked up by each worker in a bounded table of words met before; those not in it go to the tokenizer together. Words are cut as
-the tokenizer cuts them where the file's kind (byte-level, without prefix space or normalizer) and the letters (up to U+024F, whose classes
-don't change) allow it; all other texts go to the tokenizer whole. Strings of special tokens in a text are ordinary text.
+Texts are cut before each space that no space follows, where every byte-level tokenizer without prefix space or normalizer cuts too; such a tokenizer's
+pieces are looked up by each worker in a bounded table of pieces met before. Those of some texts that are not in it go to the tokenizer together: the tokens that
+begin with a space tell where each begins. Other tokenizers get whole texts. Strings of special tokens in a text are ordinary text.
 
 Defined results: a null text is empty and has the end token alone; null ids come first; rows with equal ids stay in the order of
 a hash of their texts (equal rows are interchangeable); no rows give no files and an empty manifest. Extra columns are not read.
@@ -44,18 +44,16 @@ from ..sources.written import folder
 from .common import materialize
 
 END = 2
-#: Bytes of tokens after which a frame is closed; words a worker keeps at the beginning of a text.
-FRAME, MOST_WORDS = 1 << 20, 1_000_000
+#: Bytes of tokens after which a frame is closed; pieces a worker keeps at the beginning of some texts.
+FRAME, MOST_PIECES = 1 << 20, 1_000_000
+#: Letters of a piece that is kept; letters of texts that are encoded together.
+LONGEST, TOGETHER = 64, 1 << 20
 #: A frame that zstandard readers skip, and this table's own mark.
 SKIPPED, MAGIC = 0x184D2A5E, 0x4C4F4453
 LINE, TAIL = struct.Struct("<QQIIQqqI"), struct.Struct("<IBI")
 MANIFEST = "file string, part int, frame int, offset long, size long, raw long, crc long, docs long, tokens long, first_id long, last_id long"
 
-LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
-#: The public pattern of byte-level vocabularies, for characters up to U+024F.
-WORD = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-BEYOND = re.compile("[^\x00-ɏ]")
-SPACED = re.compile(f" [{LETTERS}]+$")
+CUT = re.compile(r" (?=\S)")
 
 
 class Encoder:
@@ -73,30 +71,55 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
         self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not how.get("normalizer")
-        self.words: dict[str, bytes] = {}
+        #: Tokens that begin with a space, as byte-level vocabularies write it.
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
+        self.pieces: dict[str, bytes] = {}
 
-    def _raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if SPACED.match(w)]
-        self.words.update((w, self._raw(w)) for w in words if not SPACED.match(w))
-        if plain:  # each begins with a space, so that side by side they are cut as they stand
-            got = self.tokenizer.encode("".join(plain), add_special_tokens=False)
-            ids, edges = np.array(got.ids, self.type).tobytes(), np.searchsorted(np.array(got.word_ids), np.arange(len(plain) + 1)) * self.width
-            self.words.update((w, ids[a:b]) for w, a, b in zip(plain, edges, edges[1:]))
+    def _raw(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
+
+    def _learnt(self, pieces: list[str]) -> dict[str, bytes]:
+        """The tokens of pieces that a space goes before."""
+        plain = [p for p in pieces if " " not in p]
+        ids = self._ids(" " + " ".join(plain)) if plain else np.zeros(0, self.type)
+        edges = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+        if len(edges) != len(plain) + 1:
+            return {p: self._raw(" " + p) for p in pieces}
+        raw, edges = ids.tobytes(), (edges * self.width).tolist()
+        return {p: raw[a:b] for p, a, b in zip(plain, edges, edges[1:])} | {p: self._raw(" " + p) for p in pieces if " " in p}
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The tokens of each of some texts, short ones together."""
+        if not self.by_word:
+            return [self._raw(x) for x in texts]
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces.clear()
+        cut, new, kept = [], set(), self.pieces.get
+        for text in texts:
+            pieces = text.split(" ")
+            found = list(map(kept, pieces[1:]))
+            missing = list(compress(pieces[1:], map(not_, found)))
+            if any(not p or p[0].isspace() for p in missing):  # such pieces are never kept
+                pieces = CUT.split(text)
+                found = list(map(kept, pieces[1:]))
+                missing = list(compress(pieces[1:], map(not_, found)))
+            new.update(missing)
+            cut.append((pieces, found))
+        learnt = self._learnt(list(new))
+        out = []
+        for pieces, found in cut:
+            for i in [i for i, x in enumerate(found) if x is None]:
+                found[i] = learnt[pieces[i + 1]]
+            out.append(self._raw(pieces[0]) + b"".join(found))
+        self.pieces.update((p, x) for p, x in learnt.items() if len(p) <= LONGEST)
+        return out
 
     def __call__(self, text: str) -> bytes:
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        if not self.by_word or BEYOND.search(text):
-            return self._raw(text)
-        words = WORD.findall(text)
-        found = list(map(self.words.get, words))
-        if None in found:
-            self._learn(list(dict.fromkeys(compress(words, map(not_, found)))))
-            found = list(map(self.words.get, words))
-        return b"".join(found)
+        return self.encoded([text])[0]
 
 
 @cache
@@ -104,6 +127,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _encoded(encode: Encoder, texts: list[str]) -> Iterator[bytes]:
+    """The tokens of each text, made for about ``TOGETHER`` letters at a time."""
+    own, size = [], 0
+    for x in texts:
+        own.append(x)
+        size += len(x)
+        if size >= TOGETHER:
+            yield from encode.encoded(own)
+            own, size = [], 0
+    yield from encode.encoded(own)
+
+
 def _opened(uri: str):
     """A file system and a path in it, for a folder that executors and driver share."""
     from pyarrow import fs
@@ -210,8 +245,8 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, text: str =
                 name = f"part-{uuid.uuid4().hex}.tokens"
                 out = system.open_output_stream(f"{at}/{name}")
                 writer = Writer(out, encode.width)
-            for i, known, x in zip(part["id"].tolist(), part["known"].tolist(), part["text"], strict=True):
-                writer.add(i if known else None, encode(x) + last)
+            for i, known, tokens in zip(part["id"].tolist(), part["known"].tolist(), _encoded(encode, part["text"].tolist()), strict=True):
+                writer.add(i if known else None, tokens + last)
         if writer:
             writer.close()
             out.close()

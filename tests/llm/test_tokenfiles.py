@@ -67,6 +67,40 @@ def test_random_characters(spark, seed):
     assert [r[2:] for r in digests(table(spark, texts))] == [r[2:] for r in brute(list(enumerate(texts)))]
 
 
+class Counting:
+    """A tokenizer that counts the letters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.letters = tokenizer, 0
+
+    def encode(self, text, **how):
+        self.letters += len(text)
+        return self.tokenizer.encode(text, **how)
+
+    def encode_batch_fast(self, texts, **how):
+        self.letters += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_pieces_met_before_are_looked_up_whatever_their_letters():
+    texts = [f"日本 語{i % 7} and “quoted” words — naïve, 🙂 it's {i % 5}\nnext  line " for i in range(100)]
+    e = tokenfiles.Encoder(PATH)
+    assert [np.frombuffer(e(x), "<u2").tolist() for x in texts[:40]] == [plain(x)[:-1] for x in texts[:40]]
+    e.tokenizer = Counting(e.tokenizer)
+    assert [np.frombuffer(e(x), "<u2").tolist() for x in texts] == [plain(x)[:-1] for x in texts]
+    assert e.tokenizer.letters < sum(map(len, texts)) / 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_texts_are_cut_at_spaces_as_the_library_cuts_them(seed):
+    rng = np.random.default_rng(seed)
+    pool = [*"    \n\t\r abE'sSt.,12é\x85\xa0\x1c\u2003\u3000\u200b日🙂\u0301", "<|endoftext|>", " 's", " 'll", "x" * 70]
+    texts = ["".join(rng.choice(pool, rng.integers(0, 14))) for _ in range(2000)]
+    e = tokenfiles.Encoder(PATH)
+    for own in (texts, texts[:500]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in tokenfiles._encoded(e, own)] == [plain(x)[:-1] for x in own]
+
+
 def test_odd_rows(spark):
     want = brute([(r[0], r[1]) for r in odd_rows()])
     assert digests(odd(spark)) == want
