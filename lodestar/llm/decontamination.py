@@ -24,8 +24,6 @@ an empty table on either side gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +45,9 @@ NUMBERS = {
     "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17,
     "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1000,
 }
-IN_WORDS = r"(?<![\p{L}\p{N}⟦" + JOINT + "])(" + "|".join(NUMBERS) + r")(?![\p{L}\p{N}" + JOINT + "⟧])"
+IN_WORDS = "(?=[" + "".join(sorted({w[0] for w in NUMBERS})) + r"])(?<![\p{L}\p{N}⟦" + JOINT + "])(" + "|".join(NUMBERS) + r")(?![\p{L}\p{N}" + JOINT + "⟧])"
+#: One of ``NUMBERS`` between single spaces.
+SPELLED = "(?:^| )(?:" + "|".join(NUMBERS) + ")(?: |$)"
 
 
 def _bare(t: Column) -> Column:
@@ -55,14 +55,13 @@ def _bare(t: Column) -> Column:
 
 
 def _numbered(t: Column) -> Column:
-    t = F.regexp_replace(t, r"[.,:/](?![0-9])|(?<![0-9])[.,:/]", " ")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}⟦⟧.,:/]+", " ")
+    t = F.regexp_replace(t, r"(?:[.,:/](?!(?<=[0-9].)[0-9])|[^\p{L}\p{N}⟦⟧.,:/])+", " ")
     t = F.regexp_replace(t, r"([0-9][0-9.,:/]*)", " ⟦n$1⟧ ")
     return F.regexp_replace(t, r"(?<=⟧ {1,3})(" + "|".join(UNITS) + r")(?= |$)", "⟦u$1⟧")
 
 
 def _in_digits(t: Column) -> Column:
-    """Numbers in words as digits; a text without them is told beforehand."""
+    """Numbers in words as digits."""
     marked = F.regexp_replace(t, IN_WORDS, "⟦$1⟧")
     for word, number in NUMBERS.items():
         marked = F.replace(marked, F.lit(f"⟦{word}⟧"), F.lit(str(number)))
@@ -72,25 +71,25 @@ def _in_digits(t: Column) -> Column:
 def templates(texts: DataFrame, key: str) -> DataFrame:
     """``key, template``: words between single spaces; a placeholder is ``⟦`` a, n or u, the value ``⟧``.
 
-    Texts without digits take a shorter way to the same template. Steps stand in projections of their own, so that none is made twice.
+    Texts without digits and numbers in words take a shorter way to the same template. Steps stand in projections of their own, so that none is made twice.
+    Expressions look at the letter itself before what is behind it, as they are tried at every letter.
     """
     t = F.col("template")
-    out = texts.select(key, F.when(F.regexp_like("text", F.lit("[⟦⟧]")), F.translate("text", "⟦⟧", "  ")).otherwise(F.col("text")).alias("template"))
-    out = out.select(key, F.lower(F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}++)(?![\p{L}\p{N}])", "⟦a$1⟧")).alias("template"))
+    out = texts.select(key, F.when(F.contains("text", F.lit("⟦")) | F.contains("text", F.lit("⟧")), F.translate("text", "⟦⟧", "  ")).otherwise(F.col("text")).alias("template"))
+    out = out.select(key, F.lower(F.regexp_replace(t, r"(?=\p{Lu})(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}++)(?![\p{L}\p{N}])", "⟦a$1⟧")).alias("template"))
     out = out.select(key, F.replace(F.replace("template", F.lit("⟧ ⟦a"), F.lit(JOINT)), F.lit("ß"), F.lit("ss")).alias("template"))
-    digits = F.regexp_like("template", F.lit("[0-9]"))
-    numbered = lambda c: F.trim(F.regexp_replace(_numbered(c), "  +", " "))
-    out = out.select(key, "template", F.when(digits, numbered(t)).otherwise(F.trim(_bare(t))).alias("clean"))
-    # Plain searches between spaces tell which texts the expressions for numbers in words are worth.
-    spelled = reduce(Column.__or__, (F.contains("spaced", F.lit(f" {word} ")) for word in NUMBERS))
-    out = out.select(key, "template", "clean", F.concat(F.lit(" "), "clean", F.lit(" ")).alias("spaced"))
-    return out.select(key, F.when(spelled, numbered(_in_digits(t))).otherwise(F.col("clean")).alias("template"))
+    out = out.select(key, "template", F.trim(_bare(t)).alias("bare"))
+    # One search tells the texts without numbers; of the others, those with numbers in words.
+    numbers = F.regexp_like("bare", F.lit("[0-9]|" + SPELLED))
+    spoken = F.when(F.regexp_like("bare", F.lit(SPELLED)), _in_digits(t)).otherwise(t)
+    return out.select(key, F.when(numbers, F.trim(F.regexp_replace(_numbered(spoken), "  +", " "))).otherwise(F.col("bare")).alias("template"))
 
 
 def windows(texts: DataFrame, key: str) -> DataFrame:
     """``key, pos, window, weak, hash`` of every window of ``texts(key, text)``; the window is null where there are no words."""
     word = "[^ ]++"
-    pattern = "(?<![^ ])(?=(" + " ".join([word] * SIZE) + "))"
+    # A match takes a word and its space, so the next begins at the next word; where fewer than ``SIZE`` words are left none does.
+    pattern = "(?=(" + " ".join([word] * SIZE) + "))" + word + " "
     t = templates(texts, key).select(key, "template", F.regexp_extract_all("template", F.lit(pattern), F.lit(1)).alias("all"))
     t = t.select(key, F.when(F.size("all") > 0, SIZE).otherwise(F.size(F.split("template", " "))).alias("words"), F.when(F.size("all") > 0, F.col("all")).when(F.col("template") != "", F.array("template")).alias("all"))
     # The outer form: before the inner one Spark would put a filter that makes the windows once more.

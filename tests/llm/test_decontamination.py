@@ -137,6 +137,17 @@ def test_names_of_several_words_and_numbers_in_words(spark):
     assert got == {0: "re-parameterised", 1: "verbatim", 2: "re-parameterised", 3: "re-parameterised", 4: "verbatim"}
 
 
+def test_windows_begin_at_words_and_numbers_are_told_by_one_search(spark):
+    """Letters of two UTF-16 units begin no window in their middle; texts with and without numbers have the templates of the plain loops."""
+    texts = ["\U0001d41a said that \U0001d41abc was b\U0001d41b here too", "a b c d", "a b c d e", "", "twenty-three two.five 3.two often ten, Three 12.5 km 9:30 5km two", "ten men", "men of ten", "Often tenants attend", "x_two\n-three- ½ two² McTwo Bob Three", "1,000 :4 3: ..5.. 1/2 1./3 kg"]
+    got = {}
+    for r in dc.windows(table(spark, texts), "doc_id").where("window is not null").collect():
+        got.setdefault(r.doc_id, {})[r.pos] = r.window
+    for i, text in enumerate(texts):
+        full = [" ".join(w if v is None else f"⟦{v}⟧" for w, v in x) for x in shingled(text)]
+        assert [got.get(i, {}).get(k) for k in range(len(full))] == full and len(got.get(i, {})) == len(full), text
+
+
 STORIES = (
     "Alice buys 3 apples. Alice eats 2 apples. How many apples has Alice left?",
     "{a} walks {n} km to the market. On the way {a} meets {b}, who carries {m} kg of flour and {k} eggs. If {b} sells all the eggs, how many kg does {b} still carry?",
