@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,59 @@ def test_few_pairs_are_counted_where_texts_hold_the_questions(spark):
     assert share < 0.5
 
 
+def test_copies_are_counted_once(spark):
+    rng = random.Random(3)
+    given = [(i, words(rng, 40, 300)) for i in range(30)]
+    asked = [(i, given[i][1][:20]) for i in range(10)]
+    copies = lambda rows, kind: spark.createDataFrame([(i + 1000 * n, w) for n in range(5) for i, w in rows], f"{kind} long, words array<string>")
+    found, counted = overlap.best(copies(asked, "ask"), copies(given, "give"), 3)
+    want, pairs = overlap.best(spark.createDataFrame(asked, "ask long, words array<string>"), spark.createDataFrame(given, "give long, words array<string>"), 3)
+    assert counted.count() <= pairs.count() <= 300
+    assert {tuple(r) for r in found.collect()} == {(r.ask + 1000 * n, r.give, r.shared) for r in want.collect() for n in range(5)}
+
+
+def test_best_texts_in_slices_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SLICE", 60)
+    monkeypatch.setattr(overlap, "BLOCK", 30)
+    rng = random.Random(4)
+    given = [(f"t{i}", words(rng, rng.randrange(0, 30), 200)) for i in range(60)]
+    asked = [(f"q{i}", words(rng, 15, 200)) for i in range(20)] + [("none", ["nobody", "has", "these", "words"])]
+    found, counted = overlap.best(spark.createDataFrame(asked, "ask string, words array<string>"), spark.createDataFrame(given, "give string, words array<string>"), 3)
+    best = {a: min((-len({*q} & {*t}), g) for g, t in given) for a, q in asked}
+    assert {r.ask: (-r.shared, r.give) for r in found.collect()} == {a: x for a, x in best.items() if x[0] <= -3}
+    assert counted.count() == counted.select("ask", "give").distinct().count()
+
+
+@pytest.mark.parametrize("table, places", [(64_000_000, 4_000_000), (700, 40)])
+def test_pairs_of_a_slice_equal_a_loop(monkeypatch, table, places):
+    monkeypatch.setattr(overlap, "TABLE", table)
+    monkeypatch.setattr(overlap, "PLACES", places)
+    rng = random.Random(5)
+    texts = [(n, sorted({int(rng.paretovariate(0.5)) % 90 for _ in range(rng.randrange(1, 30))})) for n in rng.sample(range(1000), 200)]
+    asked = [(n, rng.sample(range(90), rng.randrange(1, 12))) for n in range(60)]
+    ends = [(low := rng.randrange(len(w)), rng.randrange(low, len(w) + 1)) for _, w in asked]
+    pairs = {(q, t, len({*w} & {*h})) for (q, w), (low, high) in zip(asked, ends, strict=True) for t, h in texts if {*w[low:high]} & {*h} and not {*w[:low]} & {*h}}
+    best = {q: min((-n, t) for p, t, n in pairs if p == q) for q, _, _ in pairs}
+    questions = pa.table({"ask": [q for q, _ in asked], "words": [w for _, w in asked], "low": pa.array([x for x, _ in ends], pa.int32()), "high": pa.array([x for _, x in ends], pa.int32())})
+    slice_ = pa.table({"give": [t for t, _ in texts], "holds": [h for _, h in texts]})
+    every = [tuple(r.values()) for r in overlap._counted(questions, slice_, True).to_pylist()]
+    assert set(every) == pairs and len(every) == len(pairs)
+    assert {r["ask"]: (-r["shared"], r["give"]) for r in overlap._counted(questions, slice_, False).to_pylist()} == best
+    assert not len(overlap._counted(questions, slice_.slice(0, 0), False)) and not len(overlap._counted(questions.slice(0, 0), slice_, False))
+
+
+def test_words_of_texts_are_made_once_and_texts_not_shuffled(spark):
+    from lodestar import queries
+    from lodestar.functions import text
+
+    docs = spark.createDataFrame([(1, "One two, \u212aelvin-\u0130ssue no_1 one é"), (2, ""), (3, None)], "id long, text string")
+    each = docs.select("id", F.explode(text.long_answer_words(F.col("text"))).alias("word"))
+    assert each._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+    assert sorted(r.word for r in each.collect()) == sorted(r.word for r in docs.select(F.explode(text.answer_words(F.col("text"))).alias("word")).collect())
+    plan = queries.token_f1(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hash" not in plan
+
+
 def test_best_texts_of_odd_tables(spark):
     none = spark.createDataFrame([], "id long, text string")
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six"), (3, "one two three four five six"), (None, "one two three four five")], "id long, text string")
